@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.mix import mix_sources
+from lectern.llm.pack import pack_documents
 from lectern.llm.shard import shard_documents
 
 
@@ -18,6 +19,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return pack_documents(docs, vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(_table(spark, sf_dir, "documents"), shards=24)
     return sharded.select(
@@ -33,6 +50,7 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
 }
 ORACLES: dict[str, str] = {}
