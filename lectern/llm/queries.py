@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm.mix import mix_sources
 from lectern.llm.pack import pack_documents
 from lectern.llm.shard import shard_documents
+from lectern.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +49,27 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_round_trip(_table(spark, sf_dir, "pages"), least=1000)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+        ), g AS (
+          SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+               CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to
+        FROM g
+    """,
 }
-ORACLES: dict[str, str] = {}
