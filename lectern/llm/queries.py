@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.graph import nearest
 from lectern.llm.mix import mix_sources
 from lectern.llm.pack import pack_documents
 from lectern.llm.shard import shard_documents
+from lectern.llm.topk import top_k
 from lectern.llm.warc import archive_round_trip
 
 
@@ -49,6 +51,14 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, beam=160)
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, scale=256.0)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_round_trip(_table(spark, sf_dir, "pages"), least=1000)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,9 +68,24 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
+    "op8_graph_neighbours": op8_graph_neighbours,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
+    "op9_exact_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op10_warc": """
         WITH p AS (
           SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
