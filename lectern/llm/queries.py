@@ -10,6 +10,7 @@ from lectern.llm.mix import mix_sources
 from lectern.llm.pack import pack_documents
 from lectern.llm.shard import shard_documents
 from lectern.llm.topk import top_k
+from lectern.llm.toxicity import score_toxicity
 from lectern.llm.warc import archive_round_trip
 
 
@@ -51,6 +52,11 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, beam=160)
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
+    "op7_toxicity": op7_toxicity,
     "op8_graph_neighbours": op8_graph_neighbours,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_warc": op10_warc,
