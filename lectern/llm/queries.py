@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import nearest
+from lectern.llm.jaccard import jaccard_join
 from lectern.llm.mix import mix_sources
 from lectern.llm.pack import pack_documents
 from lectern.llm.shard import shard_documents
@@ -23,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -72,6 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
     "op7_toxicity": op7_toxicity,
