@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.graph import nearest
 from lectern.llm.jaccard import jaccard_join
+from lectern.llm.lines import dedupe_lines
 from lectern.llm.mix import mix_sources
 from lectern.llm.pack import pack_documents
 from lectern.llm.shard import shard_documents
@@ -57,6 +58,12 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedupe_lines(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return found.select("doc_id", "lines", "exact", "near", "chars", "kept_chars", crc)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -80,6 +87,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_graph_neighbours": op8_graph_neighbours,
     "op9_exact_top_k": op9_exact_top_k,
