@@ -10,6 +10,7 @@ from lectern.llm.jaccard import jaccard_join
 from lectern.llm.lines import dedupe_lines
 from lectern.llm.mix import mix_sources
 from lectern.llm.pack import pack_documents
+from lectern.llm.passages import repeated_passages
 from lectern.llm.shard import shard_documents
 from lectern.llm.topk import top_k
 from lectern.llm.toxicity import score_toxicity
@@ -58,6 +59,10 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"), passage_words=50, threshold=0.8, words=5)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedupe_lines(_table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
@@ -87,6 +92,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_pack_documents": op3_pack_documents,
     "op4_shard_documents": op4_shard_documents,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_graph_neighbours": op8_graph_neighbours,
