@@ -28,7 +28,7 @@ from lectern.llm.common import stored
 from lectern.llm.components import components
 from lectern.llm.shingles import MinHasher, mix, set_overlaps, set_signature, shingle_set
 
-_SETS = "doc_id long, key long, sig binary, n long, mh binary, nodes array<long>"
+_SETS = "doc_id long, key long, text_hash long, sig binary, n long, mh binary, nodes array<long>"
 
 
 def children(nodes: np.ndarray, hashes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -66,17 +66,18 @@ def _sets(docs: DataFrame, text: str, row_id: str, words: int, coordinates: int,
             for a in range(0, batch.num_rows, 512):
                 some = batch.slice(a, 512)
                 sig, n, mh, nodes = [], [], [], []
-                for t in some.column(2).to_pylist():
+                for t in some.column(3).to_pylist():
                     x = shingle_set(t or "", words)
                     h = hasher(x)
                     sig.append(set_signature(x)), n.append(len(x)), mh.append(h.tobytes())
                     nodes.append(children(roots, np.broadcast_to(h, (runs, coordinates)), threshold)[1] if len(x) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(mh, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
-                    ["doc_id", "key", "sig", "n", "mh", "nodes"],
+                    [*some.columns[:3], pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(mh, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "text_hash", "sig", "n", "mh", "nodes"],
                 )
 
-    return docs.select(F.col(row_id).cast("long").alias("doc_id"), _key(row_id, text).alias("key"), F.col(text)).mapInArrow(read, _SETS)
+    named = docs.select(F.col(row_id).cast("long").alias("doc_id"), _key(row_id, text).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text))
+    return named.mapInArrow(read, _SETS)
 
 
 def _key(row_id: str, text: str) -> F.Column:
@@ -141,7 +142,7 @@ def jaccard_join(
 ) -> DataFrame:
     """Near-duplicate classes and links of whole texts.
 
-    One row per row of ``docs``: doc_id; class_id (the least doc_id among all rows that links
+    One row per row of ``docs``: doc_id; text_hash (xxhash64); class_id (the least doc_id among all rows that links
     connect); copy_of (the least doc_id of the rows with the same shingle set); copies (how many
     rows those are); links (how many different shingle sets have a Jaccard similarity of at least
     ``threshold`` with this one). Similarities are exact; a pair at the threshold is found with
@@ -254,9 +255,10 @@ def jaccard_join(
     )
     least_id = per_set.groupBy("root").agg(F.min("copy_of").alias("class_id"))
     per_set = per_set.join(least_id, "root").drop("root")
-    joined = sets.select("doc_id", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(per_set, "sig", "left")
+    joined = sets.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(per_set, "sig", "left")
     return joined.select(
         "doc_id",
+        "text_hash",
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("copies", F.lit(1)).alias("copies"),

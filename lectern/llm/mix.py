@@ -109,7 +109,7 @@ def mix_sources(
 ) -> DataFrame:
     """How many words the mix takes of every document.
 
-    One row per row of ``docs``: doc_id, source, size (words), source_size, target (of its
+    One row per row of ``docs``: doc_id, text_hash (xxhash64), source, size (words), source_size, target (of its
     source), copies (0 to ``max_repeat``) and taken = copies * size. The sum taken of a source
     is at most its target and within a word of it wherever lengths allow.
 
@@ -119,7 +119,7 @@ def mix_sources(
     input: no rows. The outcome depends on the rows and the seed only, not on partitions.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim, _ = stored(docs.select(F.col(row_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
+    slim, _ = stored(docs.select(F.col(row_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(text)).alias("text_hash")), "mix-sizes")
     lengths, _ = stored(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     targets = mix_targets(
         lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_repeat
@@ -153,7 +153,7 @@ def mix_sources(
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(bucket_rows))).cast("long")
     a, b = slim.alias("a"), planned.alias("b")
     joined = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))).select(
-        "a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.passes", "b.extra", "b.n"
+        "a.doc_id", "a.text_hash", "a.source", "a.size", "b.source_size", "b.target", "b.passes", "b.extra", "b.n"
     )
     placed, _ = stored(
         joined.withColumn("_h", seeded).withColumn(
@@ -174,8 +174,8 @@ def mix_sources(
     )
     same_bucket = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_bucket") == F.col("_b"))
     cut = placed.where(F.col("_bucket").isNotNull()).join(quota, same_bucket)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))
-    out = ["doc_id", "source", "size", "source_size", "target"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id", "text_hash"))
+    out = ["doc_id", "text_hash", "source", "size", "source_size", "target"]
     chosen = cut.withColumn("copies", F.col("passes") + (rank <= F.col("_quota")).cast("int")).select(*out, "copies")
     whole = placed.where(F.col("_bucket").isNull()).withColumn("copies", F.col("passes") + (F.col("extra") > 0).cast("int")).select(*out, "copies")
     return whole.unionByName(chosen).withColumn("taken", F.col("copies") * F.col("size"))

@@ -27,7 +27,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+    joined = jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+    return joined.select("doc_id", "class_id", "copy_of", "copies", "links")
 
 
 def vocabulary() -> str:
@@ -87,6 +88,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard_join": op2_jaccard_join,
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_graph_neighbours": op8_graph_neighbours,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": """
