@@ -283,7 +283,7 @@ def dedupe_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", br
         ),
         "line-lost",
     )
-    keyed = docs.select("*", *ident).join(_small(per_doc, broadcast_rows // 5), ["_id", "_null", "_th"], "left")
+    keyed = docs.select("*", *ident).join(per_doc, ["_id", "_null", "_th"], "left")
     gone = F.concat(F.coalesce("_near", F.array().cast("array<int>")), F.coalesce("_exact", F.array().cast("array<int>")))
     parts = _split(F.col(text))
     kept = F.when(F.size("_gone") == 0, parts).otherwise(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)))
