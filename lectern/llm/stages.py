@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import stored
@@ -14,14 +14,19 @@ from lectern.llm.toxicity import score_toxicity
 BROADCAST_ROWS = 500_000
 
 
-def _rows(docs: DataFrame, decisions: DataFrame, how: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Join ``docs`` with one decision for each (doc_id, text_hash). Decisions of at most
-    ``BROADCAST_ROWS`` rows (24 bytes each) go to the tasks; more meet the rows in a shuffle."""
-    slim, _ = stored(decisions.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), *extra), "stage-decisions")
-    if slim.count() <= BROADCAST_ROWS:
-        slim = F.broadcast(slim)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(slim, same, how)
+def _rows(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """Join ``docs`` with decisions on few of its rows, by (doc_id, text_hash). At most
+    ``BROADCAST_ROWS`` of them (24 bytes each) go to the tasks; more meet the rows in a shuffle."""
+    slim, _ = stored(_named(decisions), "stage-decisions")
+    return docs.join(F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim, _same(), how)
+
+
+def _named(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -52,7 +57,7 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
     repeated = keep.where("n > 1")
     stay = _rows(docs, gone.unionByName(repeated.select("doc_id", "text_hash")), "left_anti")
-    once = _rows(docs, repeated, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    once = _rows(docs, repeated.drop("n"), "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
     return stay.unionByName(once)
 
 
@@ -60,4 +65,5 @@ def mixed(docs: DataFrame, share: float = 1.5) -> DataFrame:
     """Rows as often as the mix takes them: none, one or two of each. Rows that agree in id and
     text share what is taken of them."""
     taken = mix_sources(docs, (5, 2, 1), share).groupBy("doc_id", "text_hash").agg(F.ceil(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    return _rows(docs, taken, "inner", ("copies",)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # a decision for every row: a shuffled join at any size
+    return docs.join(_named(taken), _same()).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
