@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lectern.operators.jobs import SMOOTHING, STAGE_NAMES
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: status -> what may follow; an event that does not follow is ignored.
 JOB_MOVES = {
     None: {"staging", "queued"},
@@ -186,6 +187,8 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+    # several state variables for each key need a store with column families
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = stream.writeStream.foreachBatch(write_batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
