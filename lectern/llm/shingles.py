@@ -32,17 +32,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after the last) of each word; bytes are those of the lower-cased text."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def hashed_words(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last) of each word of ``data`` (bytes). ``cuts``: true at
+    bytes before which a word is cut too."""
     solid = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
+    starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(before & ~solid)
+    if len(data) and solid[-1]:
+        ends = np.append(ends, len(data))
+    if cuts is not None:
+        inner = np.flatnonzero(cuts & solid & before)
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts]), starts, ends
 
 
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hashed_words`` of the lower-cased text."""
+    return hashed_words(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8))
+
+
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     """The hash of every run of ``size`` words, in order; of all words if there are fewer."""
     if not len(words):

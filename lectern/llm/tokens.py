@@ -1,8 +1,10 @@
 """Exact token ids of a word-level BPE vocabulary, with the ids of seen words kept.
 
-The vocabulary lower-cases, splits into words and encodes each word on its own, so a word's ids
-never depend on its neighbours. Texts of Latin letters (up to U+017F) are split here and each
-distinct word is encoded once by the tokenizer itself; all other texts go to the tokenizer whole.
+The vocabulary lower-cases, drops white space and never lets a token span it, nor the place
+between a letter and a sign other than the apostrophe; so the ids of what stands between such
+places do not depend on its neighbours. Texts of Latin letters (up to U+017F) are split there,
+many at once; the parts are looked up by 64-bit hashes, and each new one is encoded once by the
+tokenizer itself. All other texts, and texts with very long parts, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,79 +14,102 @@ from functools import lru_cache
 
 import numpy as np
 
-# Where Python's lower() and \s agree with the vocabulary's own normalizer.
-_PLAIN = re.compile("[\x00-\x1b\x20-įı-ſ]*")
-# The vocabulary's split pattern, for plain texts.
-_WORDS = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
-
-
-class _Places(dict):
-    """word -> place in the table of ids; new words get the next place and wait to be encoded."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.waiting: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        self.waiting.append(word)
-        return place
+from lectern.llm.shingles import hashed_words
+
+#: Stands between words that are encoded together; plain texts do not hold it.
+_MARK = "\x01"
+# Where Python's lower() agrees with the vocabulary's own normalizer, and white space is known.
+_PLAIN = re.compile("[\x00\x02-\x1b\x20-\u012f\u0131-\u017f]*")
+_LONG_WORD = 64
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+_LETTER[128:] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """True at bytes that follow a letter and are a sign, or the other way round."""
+    letter, sign = _LETTER[data], _SIGN[data]
+    # two-byte characters that are no letters: all that begin with C2, and the signs of C3
+    after = np.concatenate([data[1:], [0]]).astype(np.uint8)
+    other = (data == 0xC2) | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7)))
+    letter &= ~other
+    letter[1:] &= ~other[:-1]
+    cuts = np.zeros(len(data), dtype=bool)
+    cuts[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    return cuts
 
 
 class WordEncoder:
     """``encode(texts)``: one int32 array of ids for each text; empty for empty texts."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.keep = keep
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
-        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
-        self.ends_word[ends] = True
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the vocabulary has no single token for the mark")
         self._clear()
 
     def _clear(self) -> None:
-        self.places = _Places()
-        self.flat = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(0, dtype=np.int64)
+        self.names = np.zeros(0, dtype=np.uint64)  # hashes of known words, sorted
+        self.starts = np.zeros(0, dtype=np.int64)  # where each one's ids begin in flat
         self.counts = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
 
-    def _encode_waiting(self) -> None:
-        words, self.places.waiting = self.places.waiting, []
-        if words:
-            # one call for all: a word's last token, and no other, is one that ends words
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(words):
-                raise ValueError("the vocabulary does not mark the ends of words")
-            starts = np.concatenate([[0], ends[:-1]])
-            self.starts = np.concatenate([self.starts, len(self.flat) + starts])
-            self.counts = np.concatenate([self.counts, ends - starts])
-            self.flat = np.concatenate([self.flat, ids])
+    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+        """Encode new words in one call, with a mark behind each."""
+        joined = f" {_MARK} ".join(words) + f" {_MARK}"
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+        ends = np.flatnonzero(ids == self.mark[0])
+        if len(ends) != len(words):
+            raise ValueError("the mark occurs inside a word")
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        at = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, at, names)
+        self.starts = np.insert(self.starts, at, len(self.flat) + starts)
+        self.counts = np.insert(self.counts, at, ends - starts)
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _encode_plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        hashes, starts, ends = hashed_words(data, _cuts(data))
+        names, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.names) > self.keep:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
+        new = self.names[at] != names if len(self.names) else np.ones(len(names), dtype=bool)
+        if new.any():
+            words = [bytes(data[starts[i] : ends[i]]).decode() for i in first[new].tolist()]
+            self._learn(names[new], words)
+            at = np.searchsorted(self.names, names)
+        at = at[which]
+        counts = self.counts[at]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(self.starts[at] - total[:-1], counts) + np.arange(total[-1])]
+        sizes = np.cumsum([len(t) + 1 for t in texts])
+        cuts = total[np.searchsorted(starts, sizes)]
+        return np.split(ids, cuts[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        placed: list[np.ndarray] = []
-        plain: list[int] = []
-        if len(self.places) > self.keep:
-            self._clear()
-        place = self.places.__getitem__
+        plain, places = [], []
         for i, text in enumerate(texts):
             if _PLAIN.fullmatch(text):
-                words = _WORDS.findall(text.lower())
-                placed.append(np.fromiter(map(place, words), dtype=np.int64, count=len(words)))
-                plain.append(i)
-            else:
-                ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                out[i] = np.array(ids, dtype=np.int32)
-        self._encode_waiting()
-        for i, at in zip(plain, placed, strict=True):
-            counts = self.counts[at]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            out[i] = self.flat[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(total)]
+                body = text.lower().replace("\x85", " ").replace("\xa0", " ").encode()
+                if max(map(len, body.split()), default=0) <= _LONG_WORD:
+                    plain.append(body)
+                    places.append(i)
+                    continue
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            out[i] = np.array(ids, dtype=np.int32)
+        if plain:
+            for i, ids in zip(places, self._encode_plain(plain), strict=True):
+                out[i] = ids
         return out  # type: ignore[return-value]
 
 
