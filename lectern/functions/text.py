@@ -6,6 +6,8 @@ space that trimming removes, LETTER a word character that is neither digit nor u
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +28,18 @@ UNIT_PREFIX = rf"(?iu)^\s*(?:{UNIT_WORDS})\s*#?\s*\d+[a-z]?\s*[:.)\-–—]\s*"
 BULLET = r"^\s*(?:[-*•]|\d+[.)])\s*"
 
 
+#: The characters of WS one by one.
+_WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of values that are computed once, however often it uses them."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends (Unicode white space, not only blanks)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

@@ -7,6 +7,8 @@ rule and joins list fields by blanks. An empty array accepts a row. Missing keys
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,66 +23,71 @@ def _note(failed: Column, message: Column | str) -> Column:
     return F.when(failed, message if isinstance(message, Column) else F.lit(message))
 
 
-def _combined() -> Column:
-    return F.concat_ws("\n", text.stripped(F.col("instruction")), text.stripped(F.col("rationale")), text.stripped(F.col("output")))
-
-
-def out_of_scope_errors(terms: Column) -> Column:
+def out_of_scope_errors(combined: Column, terms: Column) -> Column:
     """One message for each term that the whole row mentions, whatever its case."""
-    low = F.lower(_combined())
+    low = F.lower(combined)
     named = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: (t != "") & F.contains(low, F.lower(t)))
     return F.transform(named, lambda t: F.concat(F.lit("out of scope: "), t))
 
 
-def script_error(language: Column) -> Column:
+def script_error(combined: Column, language: Column) -> Column:
     """A message if the language has a script of its own and too few letters are in it."""
     out = F.lit(None).cast("string")
     for name, (_, _, block) in languages.PRESETS.items():
         if block:
-            low = text.script_ratio(_combined(), block) < MIN_SCRIPT_RATIO
+            low = text.script_ratio(combined, block) < MIN_SCRIPT_RATIO
             out = F.when(language == name, _note(low, f"not written in {name}")).otherwise(out)
     return out
 
 
+def _parts(points: Callable[[Column], Column], null_as: str | None) -> dict[str, Column]:
+    """The three fields without outer white space, and what several rules need of them."""
+    field = lambda k: F.col(k) if null_as is None else F.coalesce(F.col(k), F.lit(null_as))
+    question, why, answer = (text.stripped(field(k)) for k in ("instruction", "rationale", "output"))
+    return {"q": question, "w": why, "a": answer, "n": points(why), "first": text.first_point(why), "all": F.concat_ws("\n", question, why, answer)}
+
+
 def platform_errors(language: Column, out_of_scope: Column) -> Column:
     missing = F.array_compact(F.array(*[_note(text.is_blank(F.col(k)), k) for k in ("instruction", "rationale", "output")]))
-    question, why, answer = (text.stripped(F.col(k)) for k in ("instruction", "rationale", "output"))
-    n = text.points(why)
-    first = text.first_point(why)
-    rules = F.array_compact(
-        F.array(
-            _note(F.length(question) < MIN_QUESTION, "instruction too short"),
-            _note(~n.between(3, 5), F.concat(F.lit("points: "), n.cast("string"))),
-            _note(~text.has_example(why, languages.example_markers(language)), "no worked example"),
-            _note(F.length(answer) < MIN_SYNTHESIS, "output too short"),
-            _note((F.length(first) >= COPIED_PREFIX) & F.contains(answer, first), "output copies the first point"),
+
+    def rules(p: Column) -> Column:
+        found = F.array_compact(
+            F.array(
+                _note(F.length(p["q"]) < MIN_QUESTION, "instruction too short"),
+                _note(~p["n"].between(3, 5), F.concat(F.lit("points: "), p["n"].cast("string"))),
+                _note(~text.has_example(p["w"], languages.example_markers(language)), "no worked example"),
+                _note(F.length(p["a"]) < MIN_SYNTHESIS, "output too short"),
+                _note((F.length(p["first"]) >= COPIED_PREFIX) & F.contains(p["a"], p["first"]), "output copies the first point"),
+            )
         )
-    )
-    rules = F.concat(rules, out_of_scope_errors(out_of_scope), F.array_compact(F.array(script_error(language))))
-    return F.when(F.size(missing) > 0, F.array(F.concat(F.lit("missing: "), F.array_join(missing, ", ")))).otherwise(rules)
+        return F.concat(found, out_of_scope_errors(p["all"], out_of_scope), F.array_compact(F.array(script_error(p["all"], language))))
+
+    checked = text.let(_parts(text.points, None), rules)
+    return F.when(F.size(missing) > 0, F.array(F.concat(F.lit("missing: "), F.array_join(missing, ", ")))).otherwise(checked)
 
 
 def research_errors(domain: Column, course: Column, forbidden: Column, keys: Column | None = None) -> Column:
     """``keys``: the row's own key set if it comes from JSON; a set other than KEYS ends the checks."""
-    question, why, answer = (text.stripped(F.coalesce(F.col(k), F.lit(""))) for k in ("instruction", "rationale", "output"))
-    n = text.points_strict(why)
-    first = text.first_point(why)
-    rules = F.array_compact(
-        F.array(
-            _note(~F.col("domain").eqNullSafe(domain), "wrong domain"),
-            _note(~F.col("course_name").eqNullSafe(course), "wrong course"),
-            _note(F.length(question) < MIN_QUESTION, "instruction too short"),
-            _note(~n.between(3, 5), F.concat(F.lit("points: "), n.cast("string"))),
-            _note(~text.has_example_strict(why), "no worked example"),
-            _note(F.length(answer) < MIN_SYNTHESIS, "output too short"),
-            _note((first != "") & F.contains(answer, first), "output copies the first point"),
+
+    def rules(p: Column) -> Column:
+        found = F.array_compact(
+            F.array(
+                _note(~F.col("domain").eqNullSafe(domain), "wrong domain"),
+                _note(~F.col("course_name").eqNullSafe(course), "wrong course"),
+                _note(F.length(p["q"]) < MIN_QUESTION, "instruction too short"),
+                _note(~p["n"].between(3, 5), F.concat(F.lit("points: "), p["n"].cast("string"))),
+                _note(~text.has_example_strict(p["w"]), "no worked example"),
+                _note(F.length(p["a"]) < MIN_SYNTHESIS, "output too short"),
+                _note((p["first"] != "") & F.contains(p["a"], p["first"]), "output copies the first point"),
+            )
         )
-    )
-    rules = F.concat(rules, out_of_scope_errors(forbidden))
+        return F.concat(found, out_of_scope_errors(p["all"], forbidden))
+
+    checked = text.let(_parts(text.points_strict, ""), rules)
     if keys is None:
-        return rules
+        return checked
     exact = F.sort_array(keys).eqNullSafe(F.array(*[F.lit(k) for k in sorted(KEYS)]))
-    return F.when(exact, rules).otherwise(F.array(F.lit("wrong keys")))
+    return F.when(exact, checked).otherwise(F.array(F.lit("wrong keys")))
 
 
 gold_errors = research_errors

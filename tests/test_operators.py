@@ -4,6 +4,7 @@ import difflib
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -53,11 +54,35 @@ def questions():
     return rows + [("long", 200, a), ("long", 201, b)]
 
 
-@pytest.mark.parametrize("second", [True, False])
-def test_greedy_equals_the_plain_loop(spark, second):
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", max_size=150), min_size=1, max_size=4), st.lists(st.text("abc", max_size=150), min_size=1, max_size=4))
+def test_common_subsequences_in_step(a, b):
+    code = lambda texts: [np.array([ord(c) - 97 for c in t], dtype=np.int32) for t in texts]
+    pairs = np.array([(i, j) for i in range(len(a)) for j in range(len(b))])
+    assert dedupe.longest_common(code(a), code(b), pairs, 3).tolist() == [common_subsequence(a[i], b[j]) for i, j in pairs]
+
+
+def test_bounds_leave_every_similar_pair(spark):
+    df = spark.createDataFrame(questions(), "domain string, row_idx long, instruction string")
+    left = {(r["a_idx"], r["b_idx"]) for r in dedupe.candidate_pairs(df).collect()}
+    assert {(r["a_idx"], r["b_idx"]) for r in dedupe.similar_edges(df).collect()} <= left
+
+
+@pytest.mark.parametrize("second,block_rows", [(True, 1024), (False, 1024), (True, 7), (False, 7)])
+def test_greedy_equals_the_plain_loop(spark, second, block_rows):
     rows = questions()
     df = spark.createDataFrame(rows, "domain string, row_idx long, instruction string")
-    got = dedupe.greedy_accept(df, dedupe.similar_edges(df, candidate_is_second=second))
+    got = dedupe.greedy_accept(df, dedupe.similar_edges(df, candidate_is_second=second, block_rows=block_rows))
     assert {(r["domain"], r["row_idx"]): (r["accepted"], r["match_idx"]) for r in got.collect()} == naive(rows, second)
 
 
