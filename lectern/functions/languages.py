@@ -59,3 +59,20 @@ def preamble(language: Column, program: Column, courses: Column) -> Column:
     for mark, value in (("{final}", final_answer(language)), ("{language}", language), ("{program}", program), ("{courses}", names)):
         text = F.replace(text, F.lit(mark), F.coalesce(value, F.lit("")))
     return text
+
+
+def system_prompt(program: Column, course: Column, language: Column, style_note: Column, out_of_scope: Column) -> Column:
+    """What a model that writes rows is told: course, language, form, style and what to leave out."""
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("You write exercises for the course "), course, F.lit(" of the program "), program, F.lit(".")),
+        F.concat(F.lit("Write in "), language, F.lit(". Answer with a JSON object of the keys instruction, rationale and output.")),
+        F.concat(F.lit("The rationale has 3 to 5 numbered points and one worked example; the output sums it up and ends in '"), final_answer(language), F.lit("' style.")),
+        F.when(F.coalesce(style_note, F.lit("")) != "", F.concat(F.lit("Style: "), style_note)),
+        F.when(F.size(out_of_scope) > 0, F.concat(F.lit("Leave out: "), F.array_join(out_of_scope, "; "))),
+    )
+
+
+def user_prompt(topic: Column, recent: Column) -> Column:
+    """The request for one topic, with questions that must not be asked again."""
+    return F.concat_ws("\n", F.concat(F.lit("Topic: "), topic), F.when(F.size(recent) > 0, F.concat(F.lit("Already asked:\n- "), F.array_join(recent, "\n- "))))

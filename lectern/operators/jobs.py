@@ -269,15 +269,26 @@ def job_view(progress: Column) -> Column:
     return F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(w).alias("lane"), status(s).alias("status")) for s, w in STAGES])
 
 
-def complete_checkpoints(files: DataFrame, required: list[str]) -> DataFrame:
-    """The newest step of each run whose folder holds all required files. ``files``: run, step, name."""
-    have = files.where(F.col("name").isin(required)).groupBy("run", "step").agg(F.countDistinct("name").alias("k"))
-    return have.where(F.col("k") == len(required)).groupBy("run").agg(F.max("step").alias("step"))
-
-
-def export_type(model_gb: Column, free_gb: Column) -> Column:
-    """How to convert a model on the disk there is: full, in eight bits, or not at all."""
-    return F.when(free_gb >= 2.2 * model_gb, "bf16").when(free_gb >= 1.3 * model_gb, "q8_0").otherwise("fail")
+def complete_checkpoints(files: DataFrame, required: list[str], micro_batch: int | None = None) -> DataFrame:
+    """The newest step of each run whose folder holds all required files, none of them broken, written
+    with the same micro-batch. ``files``: run, step, name and perhaps whole, micro_batch."""
+    good = F.col("name").isin(required)
+    if "whole" in files.columns:
+        good = good & F.col("whole")
+    have = files.where(good)
+    if micro_batch is not None:
+        have = have.where(F.col("micro_batch") == micro_batch)
+    steps = have.groupBy("run", "step").agg(F.countDistinct("name").alias("k")).where(F.col("k") == len(required))
+    return steps.groupBy("run").agg(F.max("step").alias("step"))
+
+
+# Scratch gigabytes for each billion of parameters, by what a model is converted to.
+SCRATCH_GB, SCRATCH_Q8_GB, SCRATCH_MORE_GB = 4.8, 3.5, 2.0
+
+
+def export_type(size_b: Column, free_gb: Column) -> Column:
+    """What a model of ``size_b`` billions is converted to on the disk there is: bf16, q8_0 or nothing."""
+    return F.when(free_gb >= SCRATCH_GB * size_b + SCRATCH_MORE_GB, "bf16").when(free_gb >= SCRATCH_Q8_GB * size_b + SCRATCH_MORE_GB, "q8_0").otherwise("fail")
 
 
 DEVICE = r"^\s*(\S*\d): (.+) \((\d+)\s"

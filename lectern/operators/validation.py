@@ -145,19 +145,22 @@ def form_errors(sources: Column) -> Column:
 
 
 def manifest_errors() -> Column:
-    """Messages for a model manifest's columns: repo, revision, gguf, profile."""
+    """Messages for a model manifest's columns: repo, revision, gguf, profile (which may be null)."""
     rules = [
         _note(~F.coalesce(text.is_repo_id(F.col("repo")), F.lit(False)), "bad repo"),
         _note(~F.coalesce(text.is_plain_file_name(F.col("gguf")) & F.lower("gguf").endswith(".gguf"), F.lit(False)), "bad gguf"),
-        _note(~F.coalesce(text.is_plain_file_name(F.col("profile")) & F.lower("profile").endswith(".json"), F.lit(False)), "bad profile"),
-        _note(~F.coalesce(F.col("revision").rlike(r"^[A-Za-z0-9._\-]+$"), F.lit(False)), "bad revision"),
+        _note(F.col("profile").isNotNull() & ~text.is_plain_file_name(F.col("profile")), "bad profile"),
+        _note((F.coalesce("revision", F.lit("")) == "") | F.col("revision").rlike(r"[/\\?#]"), "bad revision"),
     ]
     return F.array_compact(F.array(*rules))
 
 
-def can_write(grants: Column, repo_owner: Column) -> Column:
-    """Whether nested grants (array of struct<entity, permissions>) allow writing for an owner."""
-    return F.exists(grants, lambda g: (g["entity"] == repo_owner) & F.array_contains(g["permissions"], "repo.write"))
+def can_write(role: Column, everywhere: Column, grants: Column, user: Column) -> Column:
+    """Whether a token may write: by its role, or, if that is fine-grained, by a permission everywhere
+    or a grant (array of struct<kind, name, permissions>) on the user's own account."""
+    may = lambda p: F.coalesce(F.array_contains(p, "repo.write"), F.lit(False))
+    scoped = F.exists(F.coalesce(grants, F.array()), lambda g: (g["kind"] == "user") & (g["name"] == user) & may(g["permissions"]))
+    return F.coalesce((role == "write") | ((role == "fineGrained") & (may(everywhere) | scoped)), F.lit(False))
 
 
 def missing_keys(required: Column, present: Column) -> Column:

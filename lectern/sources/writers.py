@@ -106,7 +106,7 @@ def manifests(models: DataFrame) -> DataFrame:
     """Model manifests (repo, revision, gguf, profile, display_name, sha256, size_bytes) with their key
     and download address."""
     key = F.concat(F.col("repo"), F.lit("@"), F.col("revision"), F.lit("/"), F.col("gguf"))
-    url = F.concat(F.lit("https://huggingface.co/"), F.col("repo"), F.lit("/resolve/"), F.col("revision"), F.lit("/"), F.col("gguf"))
+    url = F.concat(F.lit("https://huggingface.co/"), F.col("repo"), F.lit("/resolve/"), F.col("revision"), F.lit("/"), F.col("gguf"), F.lit("?download=true"))
     return models.select("*", key.alias("key"), url.alias("url"))
 
 

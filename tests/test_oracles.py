@@ -6,7 +6,7 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from lectern.plans import chat_queries, corpus_queries, eval_queries, registry, stream_queries, text_queries  # noqa: E402, F401
+from lectern.plans import chat_queries, corpus_queries, eval_queries, more_queries, registry, stream_queries, text_queries  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

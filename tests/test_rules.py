@@ -192,12 +192,13 @@ def test_array_helpers(spark):
 
 
 def test_grants_retries_and_classes(spark):
-    g = spark.createDataFrame([([("me", ["repo.write"]), ("you", [])],)], "g array<struct<entity:string,permissions:array<string>>>")
-    assert g.select(validation.can_write(F.col("g"), F.lit("me"))).first()[0] and not g.select(validation.can_write(F.col("g"), F.lit("you"))).first()[0]
+    tokens = [("write", None, None), ("read", ["repo.write"], None), ("fineGrained", ["repo.write"], None), ("fineGrained", [], [("user", "me", ["repo.write"])]), ("fineGrained", None, [("org", "me", ["repo.write"]), ("user", "you", ["repo.write"]), ("user", "me", [])])]
+    g = spark.createDataFrame(tokens, "role string, e array<string>, g array<struct<kind:string,name:string,permissions:array<string>>>")
+    assert [r[0] for r in g.select(validation.can_write(F.col("role"), F.col("e"), F.col("g"), F.lit("me"))).collect()] == [True, False, True, True, False]
     codes = spark.createDataFrame([(429, ""), (503, ""), (401, ""), (429, "insufficient_quota"), (400, ""), (0, "timeout")], "c int, k string")
     assert [r[0] for r in codes.select(validation.retry_class(F.col("c"), F.col("k"))).collect()] == ["retry", "retry", "fatal", "fatal", "error", "retry"]
-    m = spark.createDataFrame([("o/r", "main", "a.gguf", "a.json"), ("x", "a b", "../a.gguf", "a.txt")], "repo string, revision string, gguf string, profile string")
-    assert [len(r[0]) for r in m.select(validation.manifest_errors()).collect()] == [0, 4]
+    m = spark.createDataFrame([("o/r", "main", "a.gguf", "a.json"), ("x", "a/b", "../a.gguf", "../a.json"), ("o/r", "main", "a.gguf", None)], "repo string, revision string, gguf string, profile string")
+    assert [len(r[0]) for r in m.select(validation.manifest_errors()).collect()] == [0, 4, 0]
 
 
 def test_the_gate_names_the_first_violation(spark):
