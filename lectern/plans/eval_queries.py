@@ -48,13 +48,13 @@ def macro_micro_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.bround("macro_loss", 6).alias("macro_loss"), F.bround("micro_loss", 6).alias("micro_loss"), "n")
 
 
-NAMES = ["v6", "v7", "v8"]
+NAMES = ["r6", "r7", "r8"]
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run, domain and OVERALL: n, base loss, own loss and perplexity, as reports have them."""
     long = runs(spark, sf_dir).withColumn("run", F.explode(F.array(*map(F.lit, NAMES))))
-    factor = F.when(F.col("run") == "v6", 0.9).when(F.col("run") == "v7", 0.8 + F.col("region") * 0.01).otherwise(0.78 + F.col("region") * 0.02)
+    factor = F.when(F.col("run") == "r6", 0.9).when(F.col("run") == "r7", 0.8 + F.col("region") * 0.01).otherwise(0.78 + F.col("region") * 0.02)
     long = long.withColumn("own", F.col("base_loss") * factor)
     rows = long.select("run", F.explode(F.array("domain", F.lit(losses.OVERALL))).alias("domain"), "base_loss", "own")
     means = rows.groupBy("run", "domain").agg(F.count("*").alias("n"), F.bround(F.avg("base_loss"), 6).alias("base_loss"), F.bround(F.avg("own"), 6).alias("ft_loss"), F.bround(F.exp(F.avg("own")), 4).alias("ft_ppl"))
@@ -62,18 +62,18 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPORTS = f"""{RUNS_SQL}, long AS (
-  SELECT run, domain, base_loss, base_loss * CASE run WHEN 'v6' THEN 0.9::DOUBLE WHEN 'v7' THEN 0.8::DOUBLE + region * 0.01::DOUBLE ELSE 0.78::DOUBLE + region * 0.02::DOUBLE END AS own FROM items, (VALUES ('v6'), ('v7'), ('v8')) r(run)
+  SELECT run, domain, base_loss, base_loss * CASE run WHEN 'r6' THEN 0.9::DOUBLE WHEN 'r7' THEN 0.8::DOUBLE + region * 0.01::DOUBLE ELSE 0.78::DOUBLE + region * 0.02::DOUBLE END AS own FROM items, (VALUES ('r6'), ('r7'), ('r8')) r(run)
 ), rows AS (SELECT run, domain, base_loss, own FROM long UNION ALL SELECT run, 'OVERALL', base_loss, own FROM long), reports AS (
   SELECT run, domain, count(*) AS n, round_even(avg(base_loss), 6) AS base_loss, round_even(avg(own), 6) AS ft_loss, round_even(exp(avg(own)), 4) AS ft_ppl FROM rows GROUP BY ALL
 ), wide AS (
-  SELECT domain, any_value(n) AS n, any_value(base_loss) AS base_loss, max(ft_loss) FILTER (run = 'v6') AS v6_loss, max(ft_loss) FILTER (run = 'v7') AS v7_loss, max(ft_loss) FILTER (run = 'v8') AS v8_loss,
-    max(ft_ppl) FILTER (run = 'v6') AS v6_ppl, max(ft_ppl) FILTER (run = 'v7') AS v7_ppl, max(ft_ppl) FILTER (run = 'v8') AS v8_ppl FROM reports GROUP BY domain
+  SELECT domain, any_value(n) AS n, any_value(base_loss) AS base_loss, max(ft_loss) FILTER (run = 'r6') AS r6_loss, max(ft_loss) FILTER (run = 'r7') AS r7_loss, max(ft_loss) FILTER (run = 'r8') AS r8_loss,
+    max(ft_ppl) FILTER (run = 'r6') AS r6_ppl, max(ft_ppl) FILTER (run = 'r7') AS r7_ppl, max(ft_ppl) FILTER (run = 'r8') AS r8_ppl FROM reports GROUP BY domain
 ), grouped AS (
   SELECT *, CASE WHEN domain = 'OVERALL' THEN 'all' WHEN domain IN (SELECT n_name FROM nation WHERE n_nationkey < 12) THEN 'prior' ELSE 'new' END AS grp,
-    base_loss - v6_loss AS v6_delta, base_loss - v7_loss AS v7_delta, base_loss - v8_loss AS v8_delta, v6_loss - v7_loss AS gain_v7_over_v6, v7_loss - v8_loss AS gain_v8_over_v7, v6_loss - v8_loss AS gain_v8_over_v6,
-    CASE WHEN v6_loss <= v7_loss AND v6_loss <= v8_loss THEN 'v6' WHEN v7_loss <= v8_loss THEN 'v7' ELSE 'v8' END AS best_run FROM wide
+    base_loss - r6_loss AS r6_delta, base_loss - r7_loss AS r7_delta, base_loss - r8_loss AS r8_delta, r6_loss - r7_loss AS gain_r7_over_r6, r7_loss - r8_loss AS gain_r8_over_r7, r6_loss - r8_loss AS gain_r8_over_r6,
+    CASE WHEN r6_loss <= r7_loss AND r6_loss <= r8_loss THEN 'r6' WHEN r7_loss <= r8_loss THEN 'r7' ELSE 'r8' END AS best_run FROM wide
 )"""
-_NUMBERS = ["base_loss", *[f"{n}_{c}" for n in NAMES for c in ("loss", "ppl", "delta")], "gain_v7_over_v6", "gain_v8_over_v7", "gain_v8_over_v6"]
+_NUMBERS = ["base_loss", *[f"{n}_{c}" for n in NAMES for c in ("loss", "ppl", "delta")], "gain_r7_over_r6", "gain_r8_over_r7", "gain_r8_over_r6"]
 _MEAN = ", ".join(f"round_even(avg({c}), 6) AS {c}" for c in _NUMBERS)
 _AS_IS = ", ".join(f"round_even({c}, 6) AS {c}" for c in _NUMBERS)
 
@@ -92,13 +92,13 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.compare_runs(_reports(spark, sf_dir), NAMES, prior).drop("place")
 
 
-@query("run_group_means", f"WITH {_REPORTS} SELECT coalesce(grp, 'ALL') AS grp, sum(n)::BIGINT AS n, round_even(avg(v8_loss), 6) AS v8_loss, round_even(avg(v8_ppl), 6) AS v8_ppl FROM grouped WHERE domain <> 'OVERALL' GROUP BY GROUPING SETS ((grp), ())")
+@query("run_group_means", f"WITH {_REPORTS} SELECT coalesce(grp, 'ALL') AS grp, sum(n)::BIGINT AS n, round_even(avg(r8_loss), 6) AS r8_loss, round_even(avg(r8_ppl), 6) AS r8_ppl FROM grouped WHERE domain <> 'OVERALL' GROUP BY GROUPING SETS ((grp), ())")
 def run_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-7 as grouping sets."""
     prior = table(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("domain"))
-    v8 = _reports(spark, sf_dir).where((F.col("run") == "v8") & (F.col("domain") != losses.OVERALL)).withColumnsRenamed({"ft_loss": "v8_loss", "ft_ppl": "v8_ppl"})
-    means = losses.group_means(losses.prior_flag(v8, prior), ["v8_loss", "v8_ppl"])
-    return means.select("grp", "n", F.bround("v8_loss", 6).alias("v8_loss"), F.bround("v8_ppl", 6).alias("v8_ppl"))
+    r8 = _reports(spark, sf_dir).where((F.col("run") == "r8") & (F.col("domain") != losses.OVERALL)).withColumnsRenamed({"ft_loss": "r8_loss", "ft_ppl": "r8_ppl"})
+    means = losses.group_means(losses.prior_flag(r8, prior), ["r8_loss", "r8_ppl"])
+    return means.select("grp", "n", F.bround("r8_loss", 6).alias("r8_loss"), F.bround("r8_ppl", 6).alias("r8_ppl"))
 
 
 @query("best_run", f"WITH {_REPORTS} SELECT best_run, count(*) AS n FROM grouped WHERE domain <> 'OVERALL' GROUP BY best_run")

@@ -155,33 +155,33 @@ def test_report_with_nan_and_unknown_domains(spark):
 
 
 # Published results of three runs: OVERALL losses and perplexities, base loss and the gains between runs.
-OVERALL = {"v6": 0.643296, "v7": 0.589912, "v8": 0.558437}
+OVERALL = {"r6": 0.643296, "r7": 0.589912, "r8": 0.558437}
 
 
 def comparison(spark, rows, prior=("a",)):
     long = [(n, d, p, 4, b, loss, math.exp(loss)) for d, p, b, each in rows for n, loss in each.items()]
     runs = spark.createDataFrame(long, "run string, domain string, place int, n long, base_loss double, ft_loss double, ft_ppl double")
-    return losses.compare_runs(runs, ["v6", "v7", "v8"], spark.createDataFrame([(p,) for p in prior], "domain string"))
+    return losses.compare_runs(runs, ["r6", "r7", "r8"], spark.createDataFrame([(p,) for p in prior], "domain string"))
 
 
 def test_comparison_of_three_runs(spark):
-    rows = [("a", 0, 0.9, {"v6": 0.5, "v7": 0.4, "v8": 0.4}), ("b", 1, 0.8, {"v6": 0.6, "v7": 0.7, "v8": 0.5}), ("OVERALL", 2**31 - 1, 0.859832, OVERALL)]
+    rows = [("a", 0, 0.9, {"r6": 0.5, "r7": 0.4, "r8": 0.4}), ("b", 1, 0.8, {"r6": 0.6, "r7": 0.7, "r8": 0.5}), ("OVERALL", 2**31 - 1, 0.859832, OVERALL)]
     got = {r["domain"]: r for r in comparison(spark, rows).collect()}
     o = got["OVERALL"]
-    assert (o["gain_v7_over_v6"], o["gain_v8_over_v7"], o["gain_v8_over_v6"], o["best_run"]) == (0.053384, 0.031475, 0.084859, "v8")
-    assert got["a"]["best_run"] == "v7" and got["b"]["best_run"] == "v8"  # equal losses: the first listed
+    assert (o["gain_r7_over_r6"], o["gain_r8_over_r7"], o["gain_r8_over_r6"], o["best_run"]) == (0.053384, 0.031475, 0.084859, "r8")
+    assert got["a"]["best_run"] == "r7" and got["b"]["best_run"] == "r8"  # equal losses: the first listed
     assert got["a"]["grp"] == "prior" and got["b"]["grp"] == "new"
-    assert got["ALL_DOMAINS_MEAN"]["n"] == 8 and got["ALL_DOMAINS_MEAN"]["v8_loss"] == 0.45 and got["ALL_DOMAINS_MEAN"]["best_run"] == ""
-    assert got["ALL_DOMAINS_MEAN"]["v8_ppl"] == round((math.exp(0.4) + math.exp(0.5)) / 2, 6)
+    assert got["ALL_DOMAINS_MEAN"]["n"] == 8 and got["ALL_DOMAINS_MEAN"]["r8_loss"] == 0.45 and got["ALL_DOMAINS_MEAN"]["best_run"] == ""
+    assert got["ALL_DOMAINS_MEAN"]["r8_ppl"] == round((math.exp(0.4) + math.exp(0.5)) / 2, 6)
 
 
 def test_runs_that_disagree_are_refused(spark):
-    rows = [("a", 0, 0.9, {"v6": 0.5, "v7": 0.4})]
+    rows = [("a", 0, 0.9, {"r6": 0.5, "r7": 0.4})]
     with pytest.raises(ValueError, match="differ"):
         comparison(spark, rows).count()
-    bad = spark.createDataFrame([("v6", "a", 0, 4, 0.9, 0.5, 1.0), ("v7", "a", 0, 4, 0.95, 0.5, 1.0)], "run string, domain string, place int, n long, base_loss double, ft_loss double, ft_ppl double")
+    bad = spark.createDataFrame([("r6", "a", 0, 4, 0.9, 0.5, 1.0), ("r7", "a", 0, 4, 0.95, 0.5, 1.0)], "run string, domain string, place int, n long, base_loss double, ft_loss double, ft_ppl double")
     with pytest.raises(ValueError, match="disagree"):
-        losses.compare_runs(bad, ["v6", "v7"])
+        losses.compare_runs(bad, ["r6", "r7"])
 
 
 def test_early_stopping(spark):
