@@ -106,13 +106,14 @@ def date_bucket(at: Column, now: Column) -> Column:
 
 
 def date_groups(conversations: DataFrame, now: Column) -> DataFrame:
-    """(place, bucket, n, ids): runs of equal buckets in newest-first order. ``conversations``: id, updated_at."""
-    order = Window.orderBy(F.desc("updated_at"), "id")
-    c = conversations.withColumn("bucket", date_bucket(F.col("updated_at"), now)).withColumn("_p", F.row_number().over(order))
-    new = F.lag("bucket").over(Window.orderBy("_p")).eqNullSafe(F.col("bucket"))
-    c = c.withColumn("place", F.sum((~new).cast("int")).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("_p", "id"))), lambda e: e["id"])
-    return c.groupBy("place", "bucket").agg(F.count("*").alias("n"), ids.alias("ids"))
+    """(id, bucket, place): each conversation's bucket and the bucket's place among those there are.
+    Buckets fall with time, so runs of equal buckets in newest-first order are the buckets.
+    ``conversations``: id, updated_at."""
+    c = conversations.withColumn("bucket", date_bucket(F.col("updated_at"), now))
+    # at most one row for each label
+    order = c.groupBy("bucket").agg(F.max("updated_at").alias("_newest"))
+    order = order.select("bucket", F.row_number().over(Window.orderBy(F.desc("_newest"))).alias("place"))
+    return c.join(order, "bucket").select("id", "bucket", "place")
 
 
 def conversation_state(changes: DataFrame) -> DataFrame:

@@ -50,12 +50,19 @@ def domain_weights(rows: DataFrame) -> DataFrame:
     return weighted.withColumn("draws", draws).withColumn("uniform", F.min("n").over(everything) == F.max("n").over(everything))
 
 
-def weighted_draws(rows: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+def weighted_draws(rows: DataFrame, draws: int, seed: int = 42, bucket_rows: int = 50_000) -> DataFrame:
     """Sampling with replacement by ``weight``: (draw, row_idx). Draw points are spread by a hash over
-    the running sum of weights, and meet their row in an equi-join on whole units of weight."""
-    w = Window.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    edges = rows.select("row_idx", "weight", F.sum("weight").over(w).alias("hi")).withColumn("lo", F.col("hi") - F.col("weight"))
-    total = edges.agg(F.max("hi")).first()[0] or 0.0
+    the running sum of weights, and meet their row in an equi-join on whole units of weight. The sum
+    runs inside hash buckets of bounded size; only the buckets' totals are summed in one place."""
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    placed = rows.select("row_idx", "weight").withColumn("bucket", F.pmod(F.xxhash64("row_idx", F.lit(1)), F.lit(buckets)))
+    w = Window.partitionBy("bucket").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy("bucket").agg(F.sum("weight").alias("t"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("bucket", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"))
+    edges = placed.withColumn("part", F.sum("weight").over(w)).join(offsets, "bucket").withColumn("hi", F.col("base") + F.col("part"))
+    edges = edges.withColumn("lo", F.col("hi") - F.col("weight"))
+    total = totals.agg(F.sum("t")).first()[0] or 0.0
     points = rows.sparkSession.range(draws).select(
         F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.lit(total)).alias("x")
     ).withColumn("cell", F.floor("x"))
@@ -65,13 +72,13 @@ def weighted_draws(rows: DataFrame, draws: int, seed: int = 42) -> DataFrame:
 
 def length_stats(rows: DataFrame, length: str = "n_chars") -> DataFrame:
     """Per domain the elements at places floor(n * 0.5) and floor(n * 0.95) of the sorted lengths
-    (counted from 0), and the largest."""
-    place = F.row_number().over(Window.partitionBy("domain").orderBy(length)) - 1
-    n = F.count("*").over(Window.partitionBy("domain"))
-    at = lambda q: F.max(F.when(F.col("_place") == F.floor(F.col("_n") * F.lit(q)), F.col(length)))
-    return rows.withColumn("_place", place).withColumn("_n", n).groupBy("domain").agg(
-        F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(length).alias("longest")
-    )
+    (counted from 0), and the largest. Rows are counted by length first, so a domain's task sees its
+    different lengths and not its rows."""
+    counts = rows.groupBy("domain", length).agg(F.count("*").alias("_c"))
+    up = Window.partitionBy("domain").orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_up", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy("domain")))
+    at = lambda q: F.min(F.when(F.col("_up") > F.floor(F.col("_n") * F.lit(q)), F.col(length)))
+    return counts.groupBy("domain").agg(F.max("_n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(length).alias("longest"))
 
 
 def longest(rows: DataFrame, k: int, length: str = "n_chars") -> DataFrame:

@@ -33,7 +33,7 @@ def loss_report(items: DataFrame, domains: DataFrame) -> DataFrame:
     """
     items = items.withColumn("domain_loss", F.lit(1))
     per = _report_row(items.groupBy("domain"))
-    rows = F.broadcast(domains).join(per, "domain", "left").select(
+    rows = domains.join(per, "domain", "left").select(
         "domain", "place", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(NAN)).alias(c) for c in ("base", "ft")]
     )
     total = _report_row(items.groupBy()).select(F.lit(OVERALL).alias("domain"), F.lit(2**31 - 1).alias("place"), "n", "base", "ft")

@@ -71,12 +71,12 @@ def date_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "date_groups",
     f"""WITH u AS (SELECT user_id AS id, max(ts) AS t FROM events GROUP BY user_id), b AS (SELECT id, t, CASE WHEN t >= d THEN 'Today' WHEN t >= d - INTERVAL 1 DAY THEN 'Yesterday' WHEN t >= d - INTERVAL 7 DAY THEN 'Previous 7 days' WHEN t >= d - INTERVAL 30 DAY THEN 'Previous 30 days' ELSE 'Older' END AS bucket
       FROM u, (SELECT TIMESTAMP '2024-01-30 00:00:00' AS d)), n AS (SELECT *, lag(bucket) OVER (ORDER BY t DESC, id) IS DISTINCT FROM bucket AS new FROM b), p AS (SELECT *, sum(new::INT) OVER (ORDER BY t DESC, id) AS place FROM n)
-    SELECT place::BIGINT AS place, bucket, count(*) AS n, array_to_string(list(id ORDER BY t DESC, id), ',') AS ids FROM p GROUP BY place, bucket""",
+    SELECT id, bucket, place::INTEGER AS place FROM p""",
 )
 def date_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-14, SRT-3: runs of equal buckets, newest first."""
     c = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("updated_at"))
-    return chat.date_groups(c, F.expr("timestamp_ntz'2024-01-30 18:00:00'")).withColumn("ids", F.array_join("ids", ","))
+    return chat.date_groups(c, F.expr("timestamp_ntz'2024-01-30 18:00:00'"))
 
 
 _FOLD = f"translate(lower(text), '{search.MARKED}', '{search.PLAIN}')"

@@ -189,7 +189,7 @@ def leakage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-16: how many documents are a test item."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("h"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return F.broadcast(b).join(d, "h", "right").where("item_id is not null").groupBy("item_id").agg(F.countDistinct("doc_id").alias("exact")).join(
+    return b.join(d, "h", "right").where("item_id is not null").groupBy("item_id").agg(F.countDistinct("doc_id").alias("exact")).join(
         b.select(F.col("item_id").alias("i")), F.col("item_id") == F.col("i"), "right"
     ).select(F.col("i").alias("item_id"), F.coalesce("exact", F.lit(0)).alias("exact"))
 
@@ -238,7 +238,7 @@ def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-11: a sample with replacement, by inverse-root weights of languages."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.col("lang").alias("domain"))
     w = ops.domain_weights(d).select("domain", "weight")
-    return ops.weighted_draws(d.join(F.broadcast(w), "domain"), 2000)
+    return ops.weighted_draws(d.join(w, "domain"), 2000)
 
 
 @query(

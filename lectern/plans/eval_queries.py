@@ -116,7 +116,7 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_gains_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-17: the gain of each year's run over the one before."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    n = F.broadcast(table(spark, sf_dir, "nation"))
+    n = table(spark, sf_dir, "nation")
     y = o.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("domain"), F.year(F.to_date("o_orderdate")).alias("run_pos"))
     return losses.gains(y.agg(F.bround(F.avg("o_totalprice") / 100000, 6).alias("loss"))).withColumn("gain", F.bround("gain", 6))
 
@@ -129,7 +129,7 @@ def run_gains_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-2, SET-2."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    b = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).where("n_nationkey > 2")
+    b = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).where("n_nationkey > 2")
     return losses.domain_difference(n.where("n_nationkey < 20").select(F.col("n_name").alias("domain")), b.select(F.col("n_name").alias("domain")))
 
 

@@ -151,7 +151,7 @@ def model_files(spark: SparkSession, folder: str) -> DataFrame:
     body = F.decode("content", "utf-8")
     profiles = read("*.json").select(stem.alias("stem"), F.when(F.try_parse_json(body).isNotNull(), body).alias("profile")).where("profile is not null")
     found = models.select(F.col("path").alias("file"), stem.alias("stem"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-    return found.join(F.broadcast(profiles), "stem", "left").orderBy(F.desc("modified"), "file")
+    return found.join(profiles, "stem", "left").orderBy(F.desc("modified"), "file")
 
 
 def first_valid_manifest(candidates: DataFrame) -> DataFrame:
