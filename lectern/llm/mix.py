@@ -104,7 +104,7 @@ def mix_sources(
     text: str = "text",
     source: str = "source",
     row_id: str = "doc_id",
-    bucket_rows: int = 2048,
+    bucket_rows: int = 256,
     window: int = 1 << 16,
 ) -> DataFrame:
     """How many words the mix takes of every document.
