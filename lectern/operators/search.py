@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,14 +43,11 @@ def phrase_matches(index: DataFrame, phrase: list[str]) -> DataFrame:
 def ranked(matches: DataFrame, index: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Matches with ``rank``: the negated BM25 weight of the phrase (lower is better)."""
     sizes = index.groupBy("message_id").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    df = matches.agg(F.count("*").alias("df"))
-    # one row with the table's figures, met under a constant
-    figures = total.withColumn("_one", F.lit(1)).join(df.withColumn("_one", F.lit(1)), "_one")
-    scored = matches.join(sizes, "message_id").withColumn("_one", F.lit(1)).join(F.broadcast(figures), "_one")
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    tf = F.col("hits") * (k1 + 1) / (F.col("hits") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return scored.withColumn("rank", -idf * tf).drop("_one", "docs", "mean", "df", "n")
+    docs, mean = sizes.agg(F.count("*"), F.avg("n")).first()  # two numbers of the whole index
+    df = matches.count()
+    idf = max(1e-6, math.log((docs - df + 0.5) / (df + 0.5)))
+    tf = F.col("hits") * (k1 + 1) / (F.col("hits") + k1 * (1 - b + b * F.col("n") / F.lit(mean or 1.0)))
+    return matches.join(sizes, "message_id").withColumn("rank", F.lit(-idf) * tf).drop("n")
 
 
 def snippet(c: Column, first: Column, size: int, width: int = SNIPPET_TOKENS) -> Column:
