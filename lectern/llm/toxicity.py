@@ -6,9 +6,10 @@ second-person words; the densest stretch; capitals, punctuation, digits and obfu
 
 Fitting uses a bounded sample of labelled rows (``max_labelled``). The sample is halved: each
 half's features use the lexicon learned from the other half, so that chance words do not look
-better than they are; scoring uses the lexicon of the whole sample. Of the sample, three
-quarters fit the trees and one quarter the isotonic calibration. All documents are scored on
-their whole text in one scan without any exchange.
+better than they are; scoring uses the lexicon of the whole sample. The isotonic calibration is
+fitted on the values that trees give to the quarter of the sample that they have not seen; the
+final trees see all of it. All documents are scored on their whole text in one scan without any
+exchange.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ FEATURES = (
     "log_words", "fixed", "learned", "beginnings", "undone", "any", "log_hits", "weight", "second_person", "near_second_person",
     "densest", "kinds", "capitals", "all_caps", "exclamations", "questions", "punctuation", "digits", "obfuscated", "stretched",
 )
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _INSIDE = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
@@ -289,16 +290,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, lexico
     if rate in (0.0, 1.0) or len(y) < 8:
         return ToxicityModel(words, begins, None, (np.zeros(1), np.zeros(1)), rate)
     x = np.stack(rows["x"].to_numpy())
-    # every fourth row of each class calibrates
+    # four parts with the classes' shares; each row is calibrated by trees that have not seen it
     place = np.zeros(len(y), dtype=np.int64)
     for label in (0.0, 1.0):
-        place[y == label] = np.arange(int((y == label).sum()))
-    last = place % 4 == 3
-    if len(np.unique(y[last])) < 2:
-        last = np.zeros(len(y), dtype=bool)
-    trees = BoostedTrees().fit(x[~last], y[~last])
-    chosen = last if last.any() else np.ones(len(y), dtype=bool)
-    return ToxicityModel(words, begins, trees, isotonic(trees.raw(x[chosen]), y[chosen]), rate)
+        place[y == label] = np.arange(int((y == label).sum())) % 4
+    raw = np.zeros(len(y))
+    for part in range(4):
+        rest = place != part
+        if len(np.unique(y[rest])) < 2:
+            rest = np.ones(len(y), dtype=bool)
+        raw[place == part] = BoostedTrees().fit(x[rest], y[rest]).raw(x[place == part])
+    return ToxicityModel(words, begins, BoostedTrees().fit(x, y), isotonic(raw, y), rate)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", row_id: str = "doc_id", **options: int) -> DataFrame:
