@@ -20,6 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_ROWS rows (whole texts) travel to a Python worker at a time, so that its
+    memory and the buffers beside the heap stay small; a lower setting of the session stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
@@ -28,6 +39,7 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: its lineage ends at files that
     survive the loss of any executor. Returns the new frame and its path (see ``drop``)."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small_batches
 from lectern.llm.tokens import word_encoder
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
@@ -182,4 +183,5 @@ def pack_documents(
         if held:
             yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(pack, _OUT)
