@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
 from lectern.llm.lines import allowed, dedupe_lines, within
-from lectern.llm.passages import compact_windows, repeated_passages
+from lectern.llm.passages import common_stretches, compact_windows, repeated_passages
 from lectern.llm.shingles import MinHasher, set_overlaps, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, sig int, line string, lines long, key int"
@@ -289,6 +289,43 @@ def test_repeated_passages_are_found_and_others_left_alone(spark, broadcast_rows
     assert span["end_word"] - span["start_word"] >= 195 and span["other_id"] == 301
 
 
+def near_passage_rows(rng, n, first):
+    """Pairs of texts with a passage of 50 to 60 words, one of them changed at any place of it;
+    the parts' shingles have a similarity of 0.8 to 0.9."""
+    rows = []
+    for k in range(n):
+        passage = words(rng, rng.randint(50, 60), 10**6)
+        changed = passage[:]
+        changed[rng.randrange(len(passage))] = f"changed{k}"
+        for i, part in ((0, passage), (1, changed)):
+            rows.append((first + 2 * k + i, " ".join([*words(rng, rng.randint(10, 60), 10**6), *part, *words(rng, rng.randint(10, 60), 10**6)])))
+    return rows
+
+
+def test_near_passages_of_fifty_to_sixty_words_are_found(spark):
+    n = 400
+    rows = near_passage_rows(random.Random(21), n, 0)
+    got = repeated_passages(frame(spark, rows)).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    assert all(a // 2 == b // 2 for a, b in found)
+    recall = sum((2 * k, 2 * k + 1) in found and (2 * k + 1, 2 * k) in found for k in range(n)) / n
+    assert recall >= 0.98, recall
+    assert all(r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.8 for r in got)
+
+
+def test_common_stretches_with_a_change_at_any_place():
+    rng = np.random.default_rng(5)
+    for size in (46, 56):
+        for at in range(size - 4):
+            passage = rng.integers(0, 2**63, size, dtype=np.uint64)
+            changed = passage.copy()
+            changed[at : at + 5] = rng.integers(0, 2**63, 5, dtype=np.uint64)
+            a, b = (np.concatenate([rng.integers(0, 2**63, 30, dtype=np.uint64), x, rng.integers(0, 2**63, 30, dtype=np.uint64)]) for x in (passage, changed))
+            got = common_stretches(a, b, 46, 0.8)
+            assert len(got) == 1 and got[0][1] - got[0][0] >= 46 and got[0][4] >= 0.8, (size, at, got)
+            assert got[0][0] == got[0][2]
+
+
 def test_no_passages_in_nothing(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
     assert repeated_passages(frame(spark, [(1, None), (2, "short")])).count() == 0
