@@ -326,6 +326,27 @@ def test_common_stretches_with_a_change_at_any_place():
             assert got[0][0] == got[0][2]
 
 
+def test_every_place_of_a_passage_is_reported(spark):
+    rng = random.Random(31)
+    rows, places = [], {}
+    for k in range(20):  # once in one text, three times in the other; hashes come in either order
+        passage = words(rng, 60, 10**6)
+        rows.append((2 * k, " ".join([*words(rng, 20, 10**6), *passage, *words(rng, 20, 10**6)])))
+        text = []
+        for _ in range(3):
+            text += words(rng, 30, 10**6)
+            places.setdefault(2 * k + 1, []).append(len(text))
+            text += passage
+        rows.append((2 * k + 1, " ".join([*text, *words(rng, 30, 10**6)])))
+        places[2 * k] = [20]
+    got = repeated_passages(frame(spark, rows)).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    for i, starts in places.items():
+        assert sorted(found[i]) == [(s, s + 60) for s in starts], i
+
+
 def test_no_passages_in_nothing(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
     assert repeated_passages(frame(spark, [(1, None), (2, "short")])).count() == 0
