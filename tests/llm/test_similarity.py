@@ -347,6 +347,22 @@ def test_every_place_of_a_passage_is_reported(spark):
         assert sorted(found[i]) == [(s, s + 60) for s in starts], i
 
 
+def test_pairs_around_a_short_common_notice_are_found(spark):
+    rng = random.Random(41)
+    notice, rows = words(rng, 40, 10**6), []
+    n = 60
+    for k in range(n):  # each pair shares 60 words around a notice of 40 that all texts have
+        before, after = words(rng, 10, 10**6), words(rng, 10, 10**6)
+        passage = [*before, *notice, *after]
+        if k % 2:  # a near one
+            passage[rng.choice([3, 56])] = f"changed{k}"
+        for i, part in ((0, [*before, *notice, *after]), (1, passage)):
+            rows.append((2 * k + i, " ".join([*words(rng, 30, 10**6), *part, *words(rng, 30, 10**6)])))
+    got = repeated_passages(frame(spark, rows)).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    assert found == {(i, i ^ 1) for i in range(2 * n)}
+
+
 def test_no_passages_in_nothing(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
     assert repeated_passages(frame(spark, [(1, None), (2, "short")])).count() == 0
