@@ -34,11 +34,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.4) ->
     return score_toxicity(docs, labels, threshold=threshold).where("predicted = 0").select(*docs.columns)
 
 
-def without_repeated_lines(docs: DataFrame, least_share: float = 0.25) -> DataFrame:
-    """Rows with their repeated lines dropped and ``n_chars`` counted anew. A row that keeps less than
-    ``least_share`` of its characters was little but repeats and goes; rows without text stay."""
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """Rows with their repeated lines dropped and ``n_chars`` counted anew. A row of which only blank
+    lines are left goes; rows that had no other lines before, and rows without text, stay."""
     cut = dedupe_lines(docs)
-    kept = cut.where(F.col("text").isNull() | (F.col("kept_chars") >= F.lit(least_share) * F.col("chars")))
+    kept = cut.where(F.col("text").isNull() | (F.col("kept_chars") > 0) | (F.col("chars") == 0))
     lost = F.col("exact") + F.col("near") > 0
     return kept.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -95,6 +95,16 @@ def test_one_of_each_class_with_repeated_rows(spark):
     assert sorted(((r["doc_id"], r["text"][:5]) for r in got), key=repr) == [(3, "some "), (9, "other"), (None, "alone")]
 
 
+def test_unique_lines_stay_where_most_lines_repeat(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(9))
+    shared, own = [line() for _ in range(40)], [line() for _ in range(10)]
+    rows = [document(1, "\n".join(shared)), document(2, "\n".join(shared + own)), document(3, "\n".join(shared)), document(4, shared[0] + "\n\n"), document(5, ""), document(6, None)]
+    got = {r["doc_id"]: r for r in stages.without_repeated_lines(spark.createDataFrame(rows, DOC)).collect()}
+    assert set(got) == {1, 2, 5, 6}
+    assert got[2]["text"] == "\n".join(own) and got[2]["n_chars"] == len(got[2]["text"])
+
+
 def test_empty_documents(spark, folder, tmp_path):
     path = f"file://{tmp_path}"
     spark.createDataFrame([], DOC).write.parquet(f"{path}/documents.parquet")
