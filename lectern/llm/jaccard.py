@@ -145,7 +145,8 @@ def jaccard_join(
     One row per row of ``docs``: doc_id; text_hash (xxhash64); class_id (the least doc_id among all rows that links
     connect); copy_of (the least doc_id of the rows with the same shingle set); copies (how many
     rows those are); links (how many different shingle sets have a Jaccard similarity of at least
-    ``threshold`` with this one). Similarities are exact; a pair at the threshold is found with
+    ``threshold`` with this one); class_sig (the signature of one set of the class, the same for all
+    its rows; null without shingles). Similarities are exact; a pair at the threshold is found with
     probability ``recall``, higher ones with more.
 
     A text of fewer words than a shingle has one shingle of all its words. Null, empty and blank
@@ -254,7 +255,7 @@ def jaccard_join(
         "jaccard-per-set",
     )
     least_id = per_set.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    per_set = per_set.join(least_id, "root").drop("root")
+    per_set = per_set.join(least_id, "root").withColumnRenamed("root", "class_sig")
     joined = sets.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(per_set, "sig", "left")
     return joined.select(
         "doc_id",
@@ -263,6 +264,7 @@ def jaccard_join(
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("links", F.lit(0)).alias("links"),
+        "class_sig",
     )
 
 

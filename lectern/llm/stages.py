@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import stored
@@ -47,11 +47,12 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of each near-duplicate class: the one of the least id. Rows that repeat an id and a
     text are one document; of rows of one id and class the least text hash stays. A class of null
     ids only keeps each of its texts once."""
-    found, _ = stored(jaccard_join(docs, threshold=threshold, words=5).select("doc_id", "text_hash", "class_id"), "stage-classes")
-    # An id may come with several texts of one class: of the least id, the least text hash stays.
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    least = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_hash"))
-    keep, _ = stored(first.withColumn("_r", least).where(F.col("doc_id").isNull() | (F.col("_r") == 1)).drop("_r"), "stage-keep")
+    found, _ = stored(jaccard_join(docs, threshold=threshold, words=5).select("doc_id", "text_hash", "class_id", "class_sig"), "stage-classes")
+    # An id may come with several texts, of one class or of several: of each class's least id, the least text hash stays.
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_sig", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = first.where("doc_id is not null and class_sig is not null").groupBy("class_sig").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("_f"))
+    alone = first.where("doc_id is null or class_sig is null").select("doc_id", "text_hash", "n")
+    keep, _ = stored(least.select("_f.doc_id", "_f.text_hash", "_f.n").unionByName(alone), "stage-keep")
     gone = found.select("doc_id", "text_hash").distinct().join(
         keep.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_t")), "left_anti"
     )

@@ -95,6 +95,13 @@ def test_one_of_each_class_with_repeated_rows(spark):
     assert sorted(((r["doc_id"], r["text"][:5]) for r in got), key=repr) == [(3, "some "), (9, "other"), (None, "alone")]
 
 
+def test_one_of_each_class_of_one_id(spark):
+    one, two = "some words of the first text that stand under this id", "other words of the second text under the very same id"
+    rows = [document(5, one), document(5, two), document(7, two + " here"), document(6, ""), document(6, "third words under an id that has an empty text too")]
+    got = stages.one_of_each_class(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted((r["doc_id"], r["text"][:5]) for r in got) == [(5, "other"), (5, "some "), (6, ""), (6, "third")]
+
+
 def test_unique_lines_stay_where_most_lines_repeat(spark):
     rng = random.Random(3)
     line = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(9))
