@@ -349,16 +349,13 @@ def test_every_place_of_a_passage_is_reported(spark):
 
 def test_pairs_around_a_short_common_notice_are_found(spark):
     rng = random.Random(41)
-    notice, rows = words(rng, 40, 10**6), []
-    n = 60
-    for k in range(n):  # each pair shares 60 words around a notice of 40 that all texts have
-        before, after = words(rng, 10, 10**6), words(rng, 10, 10**6)
-        passage = [*before, *notice, *after]
-        if k % 2:  # a near one
-            passage[rng.choice([3, 56])] = f"changed{k}"
-        for i, part in ((0, [*before, *notice, *after]), (1, passage)):
-            rows.append((2 * k + i, " ".join([*words(rng, 30, 10**6), *part, *words(rng, 30, 10**6)])))
-    got = repeated_passages(frame(spark, rows)).collect()
+    notices, rows = [words(rng, 42, 10**6) for _ in range(8)], []
+    n = 80
+    for k in range(n):  # each pair shares 54 words around a notice of 42 that ten pairs have
+        passage = [*words(rng, 6, 10**6), *notices[k % 8], *words(rng, 6, 10**6)]
+        for i in (0, 1):
+            rows.append((2 * k + i, " ".join([*words(rng, 30, 10**6), *passage, *words(rng, 30, 10**6)])))
+    got = repeated_passages(frame(spark, rows), functions=2).collect()  # few functions: the notice alone has the minima
     found = {(r["doc_id"], r["other_id"]) for r in got}
     assert found == {(i, i ^ 1) for i in range(2 * n)}
 
