@@ -9,8 +9,8 @@ from hypothesis import strategies as st
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
 from lectern.llm.lines import allowed, dedupe_lines, within
-from lectern.llm.passages import common_stretches, compact_windows, repeated_passages
-from lectern.llm.shingles import MinHasher, set_overlaps, shingle_set, word_hashes
+from lectern.llm.passages import _sequence, _sequences, common_stretches, compact_windows, own_shingles, repeated_passages
+from lectern.llm.shingles import MinHasher, mix, set_overlaps, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, sig int, line string, lines long, key int"
 
@@ -243,6 +243,36 @@ def test_compact_windows_cover_each_subsequence_once(values, window):
             assert len(holds) == 1 and values[holds[0]] == min(values[i : j + 1])
 
 
+def test_windows_and_shingles_of_many_texts_are_those_of_each():
+    rng = random.Random(6)
+    texts = ["", "one", *(" ".join(words(rng, rng.randint(0, 90), 50)) + rng.choice(["", "\n", " "]) for _ in range(40)), " \n "]
+    x, ends = _sequences(texts, 5)
+    parts = np.split(x, ends[:-1])
+    got = compact_windows(mix(x), 9, ends)
+    at = 0
+    wanted = [[], [], []]
+    for t, part in zip(texts, parts, strict=True):
+        assert part.tolist() == _sequence(t, 5).tolist()
+        for w, v in zip(wanted, compact_windows(mix(part), 9), strict=True):
+            w += (v + at).tolist()
+        at += len(part)
+    assert list(map(len, got)) == list(map(len, wanted)) and sorted(got[1].tolist()) == sorted(wanted[1])
+
+
+def test_texts_that_differ_little_share_one_of_the_least_shingles_their_leader_lacks():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        notice = rng.integers(0, 2**63, 30, dtype=np.uint64)
+        around = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        near = np.concatenate([around[:8], notice, around[8:]])
+        other = near.copy()
+        at = rng.integers(0, 46)
+        other[at : at + 5] = rng.integers(0, 2**63, 5, dtype=np.uint64)
+        leader = np.unique(np.concatenate([rng.integers(0, 2**63, 40, dtype=np.uint64), notice]))
+        a, b = (own_shingles(x, leader, 20, 20, 46, 5) for x in (near, other))
+        assert set(near[a[0]].tolist()) & set(other[b[0]].tolist()) and a[1].any() and not set(near[a[0]].tolist()) & set(leader.tolist())
+
+
 def test_a_text_of_one_shingle_has_few_windows():
     assert len(compact_windows(np.zeros(20_000, dtype=np.uint64), 46)[0]) < 2000
 
@@ -313,6 +343,46 @@ def test_near_passages_of_fifty_to_sixty_words_are_found(spark):
     assert all(r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.8 for r in got)
 
 
+@pytest.mark.parametrize("size,edits", [(50, 1), (60, 1), (80, 1), (100, 2), (150, 3), (200, 4)])
+def test_near_passages_of_any_length_are_found(spark, size, edits):
+    rng = random.Random(100 + size)
+    n, rows, near = 150, [], []
+    for k in range(n):
+        passage = words(rng, size, 10**6)
+        changed = passage[:]
+        for at in rng.sample(range(size), edits):
+            changed[at] = f"changed{k}"
+        x, y = shingles(" ".join(passage)), shingles(" ".join(changed))
+        near.append(len(x & y) >= 0.8 * len(x | y))
+        for i, part in ((0, passage), (1, changed)):
+            rows.append((2 * k + i, " ".join([*words(rng, rng.randint(10, 60), 10**6), *part, *words(rng, rng.randint(10, 60), 10**6)])))
+    found = {(r["doc_id"], r["other_id"]) for r in repeated_passages(frame(spark, rows)).collect()}
+    assert all(a // 2 == b // 2 for a, b in found)
+    hits = [(2 * k, 2 * k + 1) in found for k in range(n) if near[k]]
+    assert len(hits) > 100 and sum(hits) / len(hits) >= 0.95, sum(hits) / len(hits)
+
+
+def test_near_pairs_among_members_that_are_not_near_their_leader(spark):
+    rng = random.Random(77)
+    base, rows = words(rng, 60, 10**6), []
+    n = 40
+    for k in range(n):  # all are 0.6 alike to the base or so; the two of a pair are near each other
+        part = base[:]
+        for at in (8 + k % 5, 30 + k % 7, 52 - k % 5):
+            part[at] = f"slot{k}x{at}"
+        for i in (0, 1):
+            own = part[:]
+            own[(20 if i else 41)] = f"own{k}x{i}" if i else own[41]
+            rows.append((2 * k + i, " ".join([*words(rng, 30 + i, 10**6), *own, *words(rng, 30, 10**6)])))
+    rows.append((1000, " ".join(base)))
+    got = repeated_passages(frame(spark, rows)).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    text = {i: shingles(" ".join(t.split()[30 + i % 2 : 90 + i % 2])) for i, t in rows if i < 1000}
+    pairs = [(2 * k, 2 * k + 1) for k in range(n) if len(text[2 * k] & text[2 * k + 1]) >= 0.8 * len(text[2 * k] | text[2 * k + 1])]
+    assert len(pairs) > 30
+    assert sum(a in {x for x, _ in found} and b in {x for x, _ in found} for a, b in pairs) >= 0.95 * len(pairs)
+
+
 def test_common_stretches_with_a_change_at_any_place():
     rng = np.random.default_rng(5)
     for size in (46, 56):
