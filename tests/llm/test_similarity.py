@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
 from lectern.llm.lines import allowed, dedupe_lines, within
-from lectern.llm.passages import _sequence, _sequences, common_stretches, compact_windows, own_shingles, repeated_passages
+from lectern.llm.passages import _sequence, _sequences, common_stretches, compact_windows, rare_shingles, repeated_passages
 from lectern.llm.shingles import MinHasher, mix, set_overlaps, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, sig int, line string, lines long, key int"
@@ -259,7 +259,7 @@ def test_windows_and_shingles_of_many_texts_are_those_of_each():
     assert list(map(len, got)) == list(map(len, wanted)) and sorted(got[1].tolist()) == sorted(wanted[1])
 
 
-def test_texts_that_differ_little_share_one_of_the_least_shingles_their_leader_lacks():
+def test_texts_that_differ_little_share_one_of_their_rarest_shingles():
     rng = np.random.default_rng(8)
     for _ in range(200):
         notice = rng.integers(0, 2**63, 30, dtype=np.uint64)
@@ -268,9 +268,10 @@ def test_texts_that_differ_little_share_one_of_the_least_shingles_their_leader_l
         other = near.copy()
         at = rng.integers(0, 46)
         other[at : at + 5] = rng.integers(0, 2**63, 5, dtype=np.uint64)
-        leader = np.unique(np.concatenate([rng.integers(0, 2**63, 40, dtype=np.uint64), notice]))
-        a, b = (own_shingles(x, leader, 20, 20, 46, 5) for x in (near, other))
-        assert set(near[a[0]].tolist()) & set(other[b[0]].tolist()) and a[1].any() and not set(near[a[0]].tolist()) & set(leader.tolist())
+        count = lambda x: np.where(np.isin(x, notice), 50, np.where(np.isin(x, near) & np.isin(x, other), 2, 1))
+        a, b = (rare_shingles(x, count(x), np.array([20]), 46, 0.8) for x in (near, other))
+        assert set(near[a].tolist()) & set(other[b].tolist())
+        assert not len(rare_shingles(near, np.ones(90, np.int64), np.array([20]), 46, 0.8))
 
 
 def test_a_text_of_one_shingle_has_few_windows():
