@@ -5,9 +5,10 @@
    above its cap (the level at which the capped and the open sources use up the budget).
 2. For every source, documents are counted by exact length. The whole part of target / size is
    taken as full passes over the source. The rest of the budget is first spread evenly over the
-   length counts; what then remains (less than ``window`` words plus one document) is
-   filled by a bounded-knapsack dynamic program over the counts left, which finds the largest
-   reachable sum.
+   length counts; what then remains is filled by a bounded-knapsack dynamic program over the counts
+   left. Where that leaves a gap, the spread gives back words, twice as many each time up to
+   ``window``, and the program runs again. So the sum is the largest reachable one for a budget of
+   at most ``window`` words, and for larger ones the largest with all but the last ``window`` spread.
 3. Of the documents of one length, the seeded hash of their id decides which are in the chosen
    number. Groups of many equal lengths are cut into buckets by that hash, so that no task
    ranks more than about ``bucket_rows`` rows, however many documents share a length.
@@ -28,47 +29,66 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take, so that their sum is near ``budget`` and not
-    above it: ``0 <= take <= counts``. Lengths are positive and distinct."""
+    """How many documents of each length to take, so that their sum is as near ``budget`` as it gets
+    and not above it: ``0 <= take <= counts``. Lengths are positive and distinct. The sum is the
+    largest that can be reached if ``budget`` is at most ``window``."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    rest = budget - int((take * lengths).sum())
+    spread = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    rest = budget - int((spread * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if rest <= window:
             break
-        more = min(int(counts[i] - take[i]), (rest - window) // int(lengths[i]))
-        take[i] += more
+        more = min(int(counts[i] - spread[i]), (rest - window) // int(lengths[i]))
+        spread[i] += more
         rest -= more * int(lengths[i])
-    left = counts - take
+    best, gap = spread, rest + 1
+    back = 0
+    while True:
+        # the spread gives back at least ``back`` words, or all it has, evenly over the lengths
+        held = int((spread * lengths).sum())
+        given = np.array([-(-int(t) * min(back, held) // held) if held else 0 for t in spread], dtype=np.int64)
+        base = spread - given
+        room = budget - int((base * lengths).sum())
+        filled, missed = _fill(lengths, counts - base, room)
+        if missed < gap:
+            best, gap = base + filled, missed
+        if not gap or back >= min(window, held):
+            return best
+        back = min(max(1024, 2 * back), window)
+
+
+def _fill(lengths: np.ndarray, left: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """The bounded-knapsack program: (copies of each length whose sum is the largest up to ``room``, what it misses)."""
+    take = np.zeros(len(lengths), dtype=np.int64)
     # items (index, copies): the left copies of each length in powers of two
-    reach = np.zeros(rest + 1, dtype=bool)
+    reach = np.zeros(room + 1, dtype=bool)
     reach[0] = True
-    first = np.full(rest + 1, -1, dtype=np.int64)
+    first = np.full(room + 1, -1, dtype=np.int64)
     items: list[tuple[int, int]] = []
     for i in np.argsort(lengths, kind="stable"):
         size = int(lengths[i])
-        copies, step = min(int(left[i]), rest // size), 1
-        while copies > 0 and not reach[rest]:
+        copies, step = min(int(left[i]), room // size), 1
+        while copies > 0 and not reach[room]:
             k = min(step, copies)
             w = k * size
-            new = reach[: rest + 1 - w] & ~reach[w:]
+            new = reach[: room + 1 - w] & ~reach[w:]
             first[w:][new] = len(items)
             reach[w:] |= new
             items.append((int(i), k))
             copies, step = copies - k, step * 2
-        if reach[rest]:
+        if reach[room]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    at = best = int(np.flatnonzero(reach)[-1])
     while at:
         i, k = items[first[at]]
         take[i] += k
         at -= k * int(lengths[i])
-    return take
+    return take, room - best
 
 
 def mix_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat: int) -> DataFrame:
@@ -111,12 +131,12 @@ def mix_sources(
 
     One row per row of ``docs``: doc_id, text_hash (xxhash64), source, size (words), source_size, target (of its
     source), copies (0 to ``max_repeat``) and taken = copies * size. The sum taken of a source
-    is at most its target and within a word of it wherever lengths allow.
+    is at most its target and as near it as ``fit_budget`` gets.
 
     Nulls: a null text has size 0; null is a source of its own, the last; null ids rank like any
     one value. Documents of size 0 are taken as often as the full passes say. Rows that agree
-    in id, source and size are interchangeable; which of them are taken does not show. Empty
-    input: no rows. The outcome depends on the rows and the seed only, not on partitions.
+    in id, source and size are interchangeable; which of them are taken does not show. Very long
+    texts are counted whole; other columns, whatever their names, play no part. Empty input: no rows. The outcome depends on the rows and the seed only, not on partitions.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     slim, _ = stored(docs.select(F.col(row_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(text)).alias("text_hash")), "mix-sizes")
