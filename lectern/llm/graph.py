@@ -153,9 +153,9 @@ def usable(vectors: DataFrame, row_id: str, vector: str) -> DataFrame:
 _INDEX = "dim int, shard long, place int, entry int, vector binary, edges binary, ids binary"
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 16_384, most_shards: int = 4096, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> tuple[DataFrame, int]:
+def build_index(vectors: DataFrame, shard_rows: int = 16_384, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> tuple[DataFrame, int]:
     """A table with a row for each vertex of each shard's graph, and the number of shards."""
-    shards = min(most_shards, max(1, math.ceil(vectors.count() / shard_rows)))
+    shards = max(1, math.ceil(vectors.count() / shard_rows))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
@@ -193,12 +193,13 @@ def nearest(
     other ids. Scores are inner products of the original vectors in double precision, ties go to
     the smaller id. Vectors that are null, zero or hold null or non-finite components, and rows
     of null id, take no part; only vectors of equal dimension are compared. Rows repeated with
-    the same id and vector count once. With fewer than ``k`` candidates all are returned. Empty
+    the same id and vector count once; of two vectors under one id each asks by itself. With fewer
+    than ``k`` candidates all are returned. Other columns, whatever their names, play no part. Empty
     input: no rows.
     """
     took = usable(vectors, row_id, vector)
     index, shards = build_index(took, **index_options)  # type: ignore[arg-type]
-    queries = took.where(query_filter).dropDuplicates(["vec_id", "v"]).withColumnRenamed("vec_id", "query_id")
+    queries = took.where(query_filter).dropDuplicates(["vec_id", "v"]).withColumnRenamed("vec_id", "query_id").withColumn("qkey", F.xxhash64("v"))
     asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
 
     def search(graph: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +215,7 @@ def nearest(
             copies = np.array(list(map(len, ids)))
             entry = int(graph["entry"].iloc[0])
             small = x.astype(np.float32)
-            asked_by, targets = some["query_id"].to_numpy(), np.stack(some["v"].to_numpy())
+            asked_by, keys, targets = some["query_id"].to_numpy(), some["qkey"].to_numpy(), np.stack(some["v"].to_numpy())
             for a in range(0, len(some), block):
                 t = targets[a : a + block]
                 place, _, _ = beam_search(small, edges, entry, t.astype(np.float32), max(beam, k + 1))
@@ -225,14 +226,16 @@ def nearest(
                 take = np.minimum(copies[at], k + 1)
                 rows = pd.DataFrame({
                     "query_id": np.repeat(asked_by[a + q], take),
+                    "qkey": np.repeat(keys[a + q], take),
                     "vec_id": np.concatenate([ids[p][: k + 1] for p in at]) if len(at) else np.zeros(0, np.int64),
                     "score": np.repeat(score, take),
                     "q": np.repeat(q, take),
                 })
                 rows = rows[rows["vec_id"] != rows["query_id"]].sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
-                out.append(rows.groupby("q").head(k)[["query_id", "vec_id", "score"]])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                out.append(rows.groupby("q").head(k)[["query_id", "qkey", "vec_id", "score"]])
+        none = pd.DataFrame({"query_id": [], "qkey": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "qkey": "int64", "vec_id": "int64"})
+        return pd.concat(out) if out else none
 
-    found = index.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = index.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInPandas(search, "query_id long, qkey long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

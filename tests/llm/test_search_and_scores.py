@@ -73,6 +73,13 @@ def test_nearest_recall_and_contract(spark, seed, copies):
     assert hit / len([q for q in by if q < 9000]) >= 0.97
 
 
+def test_two_vectors_of_one_id_ask_by_themselves(spark):
+    x = vectors(300, 8, 9)
+    rows = [(i + 1, e) for i, e in enumerate(x.tolist())] + [(20, (-x[40]).tolist())]
+    got = nearest(table(spark, rows), "vec_id = 20", k=20).collect()
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 21)] * 2)
+
+
 def test_nearest_of_little(spark):
     assert nearest(table(spark, []), "vec_id % 20 = 0").count() == 0
     assert nearest(table(spark, [(0, [1.0, 2.0]), (0, [1.0, 2.0])]), "vec_id % 20 = 0").count() == 0
