@@ -1,11 +1,13 @@
 """Packing documents into fixed windows by lexical retrieval.
 
-Each task cuts its rows into shards of bounded size, in the order they are stored. A shard gets
-an inverted index with BM25 weights over token ids. A window starts with a seed document; the
-index returns the seed's unused neighbours, best first, and those that fit fill the window. The
-best one that does not fit is cut to close the gap, and its rest seeds the next window. Only a
-shard's last window can stay short: it is split into sequences whose lengths are powers of two,
-so nothing is padded. No row leaves its task: packing needs no exchange and has no skew.
+Texts become token ids, and rows are put in the order of weighted min-hashes over each document's
+tokens, rare ones (counted in all documents) first, so that documents that share rare words become
+neighbours wherever they were stored. Tasks take ranges of that order; a key that very many
+documents share is cut by the next one and, at last, by the row's hash. Each task cuts its rows into shards of bounded size. A shard gets an inverted index
+with BM25 weights over token ids. A window starts with a seed document; the index returns the
+seed's unused neighbours, best first, and those that fit fill the window. The best one that does
+not fit is cut to close the gap, and its rest seeds the next window. Only a shard's last window can
+stay short: it is split into sequences whose lengths are powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches
+from lectern.llm.common import stored
+from lectern.llm.shingles import mix
 from lectern.llm.tokens import word_encoder
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
@@ -26,8 +29,8 @@ Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, off
 class InvertedIndex:
     """Postings with BM25 weights over one shard's token ids."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 24) -> None:
-        self.n, self.query_terms = len(docs), query_terms
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
+        self.n = len(docs)
         unique = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(t) for t, _ in unique], dtype=np.int64)
         terms = np.concatenate([t for t, _ in unique])
@@ -35,31 +38,64 @@ class InvertedIndex:
         owner = np.repeat(np.arange(self.n), sizes)
         lengths = np.array([len(d) for d in docs], dtype=np.float64)
         order = np.argsort(terms, kind="stable")
-        self.terms, first, df = np.unique(terms[order], return_index=True, return_counts=True)
-        self.first, self.last = first, first + df
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        _, self.first, self.df = np.unique(terms[order], return_index=True, return_counts=True)
+        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
         norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean()))
-        place = np.searchsorted(self.terms, terms)
-        weight = self.idf[place] * tf * (k1 + 1) / (tf + norm[owner])
-        self.docs, self.weights = owner[order], weight[order].astype(np.float32)
-        # the terms that ask for each document: its heaviest ones that another document has
-        self.asked = []
-        for a, z in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
-            shared = np.flatnonzero(df[place[a:z]] > 1) + a
-            if len(shared) > query_terms:
-                shared = shared[np.argpartition(-weight[shared], query_terms)[:query_terms]]
-            self.asked.append(np.sort(place[shared]))
+        self.place = np.empty(len(terms), dtype=np.int64)  # of each document's terms among all terms
+        self.place[order] = np.repeat(np.arange(len(self.df)), self.df)
+        weight = idf[self.place] * tf * (k1 + 1) / (tf + norm[owner])
+        self.docs, self.weights = owner[order], weight[order]
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents, best match with ``doc`` first, ties in stored order."""
-        score = np.zeros(self.n, dtype=np.float32)
-        for t in self.asked[doc]:
-            a, z = self.first[t], self.last[t]
-            score[self.docs[a:z]] += self.weights[a:z]
+        """The unused documents, best match with all terms of ``doc`` first, ties in the shard's order."""
+        asked = self.place[self.starts[doc] : self.ends[doc]]
+        asked = asked[self.df[asked] > 1]
+        count = self.df[asked]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[asked], count)
+        score = np.bincount(self.docs[at], self.weights[at], minlength=self.n)
         left = np.flatnonzero(unused)
         return left[np.argsort(-score[left], kind="stable")]
 
 
+def lexical_keys(ids: np.ndarray, weight: np.ndarray) -> tuple[int, int, int]:
+    """Three weighted min-hashes over the distinct ids: an id is the key with a chance in proportion
+    to its ``weight``, the same for all documents that hold it. Equal sets have equal keys."""
+    some = np.unique(ids)
+    some = some[weight[some] > 0]
+    if not len(some):
+        return (0, 0, 0)
+    keys = []
+    for k in (1, 2, 3):
+        name = mix(some.astype(np.uint64) + np.uint64(k << 32))
+        chance = ((name >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+        keys.append(int(name[np.argmin(-np.log(chance) / weight[some])] >> np.uint64(1)))
+    return tuple(keys)  # type: ignore[return-value]
+
+
+def token_weights(encoded: DataFrame) -> np.ndarray:
+    """The squared inverse document frequency of every token id, from all documents; none for ids of a
+    single document. What reaches the driver is one count for each id of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for e in batch.column(0):
+                some = np.unique(np.frombuffer(e.as_buffer(), dtype="<u4"))
+                if len(some) and some[-1] >= len(n):
+                    n = np.concatenate([n, np.zeros(int(some[-1]) + 1, dtype=np.int64)])
+                n[some] += 1
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
+
+    rows = encoded.count()
+    found = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    weight = np.zeros(int(found["id"].max()) + 1 if len(found) else 1)
+    weight[found["id"].to_numpy(np.int64)] = np.where(found["n"] > 1, np.log(np.maximum(rows / found["n"], 1.0)) ** 2, 0.0)
+    return weight
+
+
 def pack_shard(docs: list[np.ndarray], window: int) -> list[Piece]:
     """Place every token of every document in exactly one piece."""
     index = InvertedIndex(docs)
@@ -123,6 +159,8 @@ def _tail(placed: list[tuple[int, int, int]], total: int, sequence: int, pieces:
 
 
 _OUT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_IDS = "doc_id long, ids binary"
+_KEYED = "doc_id long, ids binary, k1 long, k2 long, k3 long"
 
 
 def pack_documents(
@@ -134,6 +172,7 @@ def pack_documents(
     row_id: str = "doc_id",
     shard_docs: int = 1024,
     shard_tokens: int = 1 << 20,
+    task_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Pieces of documents laid out in sequences of at most ``window`` tokens.
 
@@ -141,17 +180,31 @@ def pack_documents(
     doc_id, start (its document's tokens before it), length, doc_tokens (its document's),
     sequence_id, offset (gapless from 0 in each sequence) and ids (little-endian unsigned 32-bit).
     Sequences hold ``window`` tokens, but for a shard's last ones, whose lengths are powers of
-    two; no token is padding.
+    two; no token is padding. A shard holds up to ``shard_docs`` documents or ``shard_tokens``
+    tokens, neighbours in the order of ``lexical_keys``; tasks take about ``task_bytes`` of ids.
 
     An empty text is the single token ``end_id``. Repeated rows are packed once each; rows of null
-    id keep a null id. Very long texts are cut over as many windows as they need. Empty input: no
-    rows. The layout depends on the rows' order in the input's partitions.
+    id keep a null id. Equal matches are taken in the shard's order, which ends with the row's id
+    and ids, so ties are only between rows that are the same. Very long texts are cut over as many
+    windows as they need. Other columns, whatever their names, play no part. Empty input: no rows.
     """
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                encoded = encoder.encode([t or "" for t in some.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([e.astype("<u4").tobytes() for e in encoded], pa.binary())], ["doc_id", "ids"])
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([lexical_keys(np.frombuffer(e.as_buffer(), dtype="<u4"), weight) for e in batch.column(1)], dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(keys[:, i]) for i in range(3))], ["doc_id", "ids", "k1", "k2", "k3"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = word_encoder(vocabulary)
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -160,7 +213,7 @@ def pack_documents(
         def flush() -> pa.RecordBatch:
             nonlocal base, tokens
             pieces = pack_shard(held, window)
-            rows = [(ids[d], s, n, len(held[d]), base + q, o, held[d][s : s + n].astype("<u4").tobytes()) for d, s, n, q, o in pieces]
+            rows = [(ids[d], s, n, len(held[d]), base + q, o, held[d][s : s + n].tobytes()) for d, s, n, q, o in pieces]
             base += pieces[-1][3] + 1
             ids.clear(), held.clear()
             tokens = 0
@@ -171,17 +224,18 @@ def pack_documents(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                encoded = encoder.encode([t or "" for t in some.column(1).to_pylist()])
-                for i, e in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    ids.append(i)
-                    held.append(np.append(e, np.int32(end_id)))
-                    tokens += len(e) + 1
-                    if len(held) >= shard_docs or tokens >= shard_tokens:
-                        yield flush()
+            for i, e in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                held.append(np.append(np.frombuffer(e.as_buffer(), dtype="<u4"), np.uint32(end_id)))
+                tokens += len(held[-1])
+                if len(held) >= shard_docs or tokens >= shard_tokens:
+                    yield flush()
         if held:
             yield flush()
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(pack, _OUT)
+    encoded, _ = stored(docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(encode, _IDS), "pack-ids")
+    total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids") + 8), F.lit(0))).first()[0]
+    order = ["k1", "k2", "k3", F.xxhash64("doc_id", "ids"), "doc_id"]
+    weight = token_weights(encoded)
+    dealt = encoded.mapInArrow(key, _KEYED).repartitionByRange(int(total // task_bytes) + 1, *order).sortWithinPartitions(*order, "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(pack, _OUT)

@@ -4,7 +4,8 @@ The vocabulary lower-cases, drops white space and never lets a token span it, no
 between a letter and a sign other than the apostrophe; so the ids of what stands between such
 places do not depend on its neighbours. Texts of Latin letters (up to U+017F) are split there,
 many at once; the parts are looked up by 64-bit hashes, and each new one is encoded once by the
-tokenizer itself. All other texts, and texts with very long parts, go to the tokenizer whole.
+tokenizer itself. All other texts, texts with very long parts, and texts that hold a string which the
+vocabulary has as a token of its own (such as the mark of a text's end) go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        added = {t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added))) or "(?!)")
         self.keep = keep
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
@@ -101,7 +103,7 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if _PLAIN.fullmatch(text):
                 body = text.lower().replace("\x85", " ").replace("\xa0", " ").encode()
-                if max(map(len, body.split()), default=0) <= _LONG_WORD:
+                if max(map(len, body.split()), default=0) <= _LONG_WORD and not self.added.search(text.lower()):
                     plain.append(body)
                     places.append(i)
                     continue

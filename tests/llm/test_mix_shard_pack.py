@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,13 +24,24 @@ def test_fit_budget_is_the_best_sum_when_all_fits_the_window(items, budget, wind
     take = fit_budget(lengths, counts, budget, 1 << 16)
     assert ((take >= 0) & (take <= counts)).all()
     total = int((take * lengths).sum())
-    assert total <= budget
+    sums = {0}
+    for x, n in items.items():
+        sums = {a + x * k for a in sums for k in range(n + 1)}
+    assert total == max(a for a in sums if a <= budget)
     small = fit_budget(lengths, counts, budget, window)
     assert ((small >= 0) & (small <= counts)).all() and int((small * lengths).sum()) <= budget
     if budget >= (lengths * counts).sum():
         assert (take == counts).all()
 
 
+def test_what_the_spread_takes_is_given_back_where_that_fits_better():
+    take = fit_budget(np.array([19, 25]), np.array([3, 5]), 103)
+    assert (take * [19, 25]).sum() == 100
+    lengths = np.arange(101, 301)
+    take = fit_budget(lengths, np.full(200, 1000), 11_111_111)
+    assert (take * lengths).sum() == 11_111_111 and abs(take[:100].sum() / take.sum() - 0.5) < 0.05
+
+
 def water_fill(sizes, weights, share, cap):
     """The rule as it is told: share by weight, cap, share the excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -123,17 +135,17 @@ def test_no_rows_no_shards(spark):
 
 
 def test_encoder_equals_the_tokenizer(rows):
-    encoder = WordEncoder(vocabulary(), keep=50)
-    texts = [r[1] or "" for r in rows] + ["it's we'll don'T 'sing!'s", "a\x85b\xa0c\x1cd", "İ ı ŉ ª º ½²3", "__a_b--c", "́é", "<|startoftext|>'"]
+    encoder, untouched = WordEncoder(vocabulary(), keep=50), Tokenizer.from_file(vocabulary())
+    texts = [r[1] or "" for r in rows] + ["it's we'll don'T 'sing!'s", "a\x85b\xa0c\x1cd", "İ ı ŉ ª º ½²3", "__a_b--c", "́é", "<|startoftext|>'", "hello <|endoftext|> x", "a<|ENDOFTEXT|>b"]
     for _ in range(2):
         for got, text in zip(encoder.encode(texts), texts, strict=True):
-            assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert got.tolist() == untouched.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_is_an_exact_round_trip(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    pieces = pack_documents(docs, vocabulary(), window=256, shard_docs=100).collect()
-    tokenizer = WordEncoder(vocabulary()).tokenizer
+    pieces = pack_documents(docs, vocabulary(), window=256, shard_docs=100, task_bytes=100_000).collect()
+    tokenizer = Tokenizer.from_file(vocabulary())
     want = sorted((str(r[0]), bytes(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes())) for r in rows)
     sequences, documents = {}, {}
     for p in pieces:
@@ -164,5 +176,26 @@ def test_packing_puts_neighbours_together():
     assert zlib.crc32(b"") == 0
 
 
+@pytest.mark.parametrize("topics", [40, 160])
+def test_related_documents_share_windows_wherever_they_are_stored(spark, topics):
+    rng = random.Random(topics)
+    known = sorted(w[:-4] for w in Tokenizer.from_file(vocabulary()).get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 8)
+    word = lambda: rng.choice(known)
+    common = [word() for _ in range(200)]
+    rows = []
+    for t in range(topics):
+        own = [word() for _ in range(12)]
+        rows += [(t * 10 + i, " ".join(rng.choice(own) if rng.random() < 0.5 else rng.choice(common) for _ in range(60))) for i in range(10)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    pieces = pack_documents(docs, vocabulary(), window=2048, shard_docs=100).select("doc_id", "sequence_id").collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p["sequence_id"], []).append(p["doc_id"] // 10)
+    same = sum(t.count(x) > 1 for t in windows.values() for x in t) / len(pieces)
+    print("share with a neighbour of their topic", topics, same)
+    assert same > 0.5
+
+
 def test_packing_nothing(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), vocabulary()).count() == 0
