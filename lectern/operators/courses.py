@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.functions.udfs import nfkd_ascii
 
+# Limits, and the patterns of unit and list lines.
 MIN_TOPICS, MAX_SOURCE_CHARS, MIN_SOURCE_CHARS, LABEL_CHARS = 5, 100_000, 200, 60
 UNIT_LINE = rf"(?iu)^\s*(?:{text.UNIT_WORDS})\s*#?\s*\d+[a-z]?\s*[:.)\-–—]\s*(.+)$"
 LIST_LINE = r"^\s*(?:\d+[.)]|[-*•▪●])\s+(.+)$"
@@ -81,12 +82,12 @@ def normalised(raw: DataFrame, fallback: Column | None = None) -> DataFrame:
 
 
 def merged_courses(courses: DataFrame) -> DataFrame:
-    """One course per name (but for case): the first one's fields, topics appended if new, terms out of
-    scope as a sorted set. ``courses``: pos, course_name, topics, out_of_scope, others."""
+    """One course per name (but for case, in full folding: sharp s is ss): the first one's fields, topics
+    appended if new, terms out of scope as a sorted set. ``courses``: pos, course_name, topics, out_of_scope, others."""
     others = [c for c in courses.columns if c not in ("pos", "topics", "out_of_scope")]
     lists = F.transform(F.array_sort(F.collect_list(F.struct("pos", "topics"))), lambda e: e["topics"])
     return (
-        courses.groupBy(F.lower("course_name").alias("_key"))
+        courses.groupBy(F.lower(F.upper("course_name")).alias("_key"))
         .agg(F.min("pos").alias("pos"), *[F.min_by(c, "pos").alias(c) for c in others], F.flatten(lists).alias("topics"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("out_of_scope")))).alias("out_of_scope"))
         .withColumn("topics", text.distinct_ignoring_case(F.col("topics")))
         .drop("_key")

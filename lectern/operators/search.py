@@ -3,24 +3,40 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARK_ON, MARK_OFF, SNIPPET_TOKENS = "\x02", "\x03", 12
-# Letters with marks of Western languages, and what search takes them for.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"
+
+
+def _marked() -> tuple[str, str]:
+    """All lower-case letters of Latin, Greek and Cyrillic that are a letter with marks, and those letters."""
+    ranges = (range(0xC0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000))
+    forms = [(c, unicodedata.normalize("NFD", c)) for c in (chr(i) for r in ranges for i in r) if c == c.lower()]
+    pairs = [(c, d[0]) for c, d in forms if len(d) > 1 and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, PLAIN = _marked()
 
 
 def folded(c: Column) -> Column:
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks, be they part of a letter or behind it."""
+    return F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"\p{Mn}+", "")
+
+
+def raw_tokens(c: Column) -> Column:
+    """Runs of letters and digits as they stand."""
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits, in lower case without marks."""
-    return F.filter(F.split(folded(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.transform(raw_tokens(c), folded)
 
 
 def build_index(messages: DataFrame) -> DataFrame:
@@ -50,16 +66,24 @@ def ranked(matches: DataFrame, index: DataFrame, k1: float = 1.2, b: float = 0.7
     return matches.join(sizes, "message_id").withColumn("rank", F.lit(-idf) * tf).drop("n")
 
 
-def snippet(c: Column, first: Column, size: int, width: int = SNIPPET_TOKENS) -> Column:
-    """About ``width`` words around the hit at token ``first``, the hit between marks."""
-    words = F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    start = F.greatest(F.lit(0), F.least(first - F.floor((width - size) / F.lit(2)).cast("int"), F.size(words) - width))
-    shown = F.slice(words, start + 1, F.lit(width))
-    marked = F.transform(
-        shown,
-        lambda w, i: F.concat(F.when(i + start == first, MARK_ON).otherwise(""), w, F.when(i + start == first + (size - 1), MARK_OFF).otherwise("")),
-    )
-    return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(start + width < F.size(words), "…").otherwise(""))
+def snippet(c: Column, first: Column, phrase: list[str], width: int = SNIPPET_TOKENS) -> Column:
+    """The text itself around the hit at token ``first``, ``width`` tokens of it, every whole hit in it
+    between marks. What stands between tokens stays; text left out shows as an ellipsis."""
+    raw, size = raw_tokens(c), max(1, len(phrase))
+    between = F.split(c, TOKEN, -1)  # one more than tokens: before the first, ..., behind the last
+    n = F.size(raw)
+    start = F.greatest(F.lit(0), F.least(first - F.lit((width - size) // 2), n - width))
+    end = F.least(start + width, n)
+    hit = lambda i: F.slice(F.transform(F.slice(raw, start + 1, F.lit(width)), folded), i + 1, F.lit(size)) == F.array(*map(F.lit, phrase))
+    shown = F.transform(
+        F.slice(raw, start + 1, F.lit(width)),
+        lambda w, i: F.concat(
+            F.when(hit(i), MARK_ON).otherwise(""), w, F.when((i + 1 >= size) & hit(i - (size - 1)), MARK_OFF).otherwise(""),
+            F.when(i + start + 1 < end, F.element_at(between, i + start + 2)).otherwise(""),
+        ),
+    )
+    before = F.when(start > 0, "…").otherwise(F.element_at(between, 1))
+    return F.concat(before, F.array_join(shown, ""), F.when(end < n, "…").otherwise(F.element_at(between, -1)))
 
 
 def search(messages: DataFrame, conversations: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -70,7 +94,7 @@ def search(messages: DataFrame, conversations: DataFrame, query: str, limit: int
     index = build_index(messages)
     hits = ranked(phrase_matches(index, phrase), index)
     found = hits.join(messages, "message_id").join(conversations, "conv_id")
-    return found.select("message_id", "conv_id", "title", snippet(F.col("text"), F.col("first_pos"), max(1, len(phrase))).alias("snippet"), "rank").orderBy("rank", "message_id").limit(limit)
+    return found.select("message_id", "conv_id", "title", snippet(F.col("text"), F.col("first_pos"), phrase or [""]).alias("snippet"), "rank").orderBy("rank", "message_id").limit(limit)
 
 
 def updated_index(index: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:

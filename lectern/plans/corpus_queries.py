@@ -87,11 +87,11 @@ def longest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "first_per_domain",
-    "SELECT source AS domain, min(doc_id) AS first_idx, arg_min(left(text, 40), doc_id) AS instruction FROM documents GROUP BY source ORDER BY first_idx LIMIT 4",
+    "SELECT source AS domain, min(doc_id) AS first_idx, arg_min(text, doc_id) AS instruction FROM documents GROUP BY source ORDER BY first_idx LIMIT 4",
 )
 def first_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-22: the first question of each of the first four domains."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("domain"), F.col("doc_id").alias("row_idx"), F.left("text", F.lit(40)).alias("instruction"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("domain"), F.col("doc_id").alias("row_idx"), F.col("text").alias("instruction"))
     return ops.first_per_domain(d, "instruction", 4)
 
 
@@ -114,12 +114,12 @@ def generation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merged_corpus",
-    """SELECT 0 AS source_idx, doc_id AS row_idx, lang FROM documents WHERE lang = 'de' UNION ALL SELECT 1, doc_id, lang FROM documents WHERE lang = 'fr' UNION ALL SELECT 2, doc_id, lang FROM documents WHERE lang = 'es'""",
+    """SELECT 0 AS source_idx, doc_id AS row_idx, lang FROM documents WHERE lang = 'de' UNION ALL SELECT 1, doc_id, lang FROM documents WHERE lang = 'fr' UNION ALL SELECT 2, doc_id, lang FROM documents WHERE lang = 'es' UNION ALL SELECT 3, doc_id, lang FROM documents WHERE lang = 'en'""",
 )
 def merged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-1: files in the order of a manifest."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "lang")
-    return ops.merged([d.where(F.col("lang") == x) for x in ("de", "fr", "es")])
+    return ops.merged([d.where(F.col("lang") == x) for x in ("de", "fr", "es", "en")])
 
 
 @query(
@@ -195,7 +195,7 @@ def leakage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOUNDS = f"""WITH {CORPUS_SQL}, norm AS (
-  SELECT row_idx, domain, lower(trim(regexp_replace(regexp_replace(instruction, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS t FROM corpus
+  SELECT row_idx, domain, lower(trim(regexp_replace(regexp_replace(question, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS t FROM corpus
 ), counted AS (SELECT row_idx, c, count(*) AS k FROM (SELECT row_idx, unnest(string_split(t, '')) AS c FROM norm) GROUP BY ALL), pairs AS (
   SELECT a.domain, a.row_idx AS a_idx, b.row_idx AS b_idx, length(a.t) AS an, length(b.t) AS bn FROM norm a JOIN norm b ON a.domain = b.domain AND a.row_idx < b.row_idx
   WHERE 2.0 * least(length(a.t), length(b.t)) >= 0.72 * (length(a.t) + length(b.t))
@@ -208,7 +208,7 @@ SELECT domain, a_idx, b_idx, round_even(2.0 * least(an, bn) / (an + bn), 6) AS l
 @query("near_dup_bounds", _BOUNDS)
 def near_dup_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-9, first half: pairs of questions that the two upper bounds leave."""
-    rows = corpus(spark, sf_dir).select("row_idx", "domain", "instruction")
+    rows = corpus(spark, sf_dir).select("row_idx", "domain", F.col("question").alias("instruction"))
     pairs = dedupe.candidate_pairs(rows)
     return pairs.select("domain", "a_idx", "b_idx", F.bround("length_bound", 6).alias("length_bound"), F.bround("count_bound", 6).alias("count_bound"))
 
@@ -216,20 +216,20 @@ def near_dup_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("near_dup_edges")
 def near_dup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-9: similar pairs, verified (held against a plain loop in the tests)."""
-    return dedupe.similar_edges(corpus(spark, sf_dir).select("row_idx", "domain", "instruction"))
+    return dedupe.similar_edges(corpus(spark, sf_dir).select("row_idx", "domain", F.col("question").alias("instruction")))
 
 
 @query("near_dup_greedy")
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-9, VAL-10: which questions are accepted in order."""
-    rows = corpus(spark, sf_dir).select("row_idx", "domain", "instruction")
+    rows = corpus(spark, sf_dir).select("row_idx", "domain", F.col("question").alias("instruction"))
     return dedupe.greedy_accept(rows, dedupe.similar_edges(rows))
 
 
 @query("near_dup_greedy_research")
 def near_dup_greedy_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-9 with the arguments of the measure the other way round."""
-    rows = corpus(spark, sf_dir).select("row_idx", "domain", "instruction")
+    rows = corpus(spark, sf_dir).select("row_idx", "domain", F.col("question").alias("instruction"))
     return dedupe.greedy_accept(rows, dedupe.similar_edges(rows, candidate_is_second=False))
 
 

@@ -11,14 +11,16 @@ from lectern.plans.registry import query
 from lectern.session import table
 from lectern.sources import readers, writers
 
+_STRIPPED = f"regexp_replace(text, '^{text.WS}+|{text.WS}+$', '', 'g')"
+
 
 @query(
     "think_strip",
-    """SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN trim(left(text, 80), chr(10) || ' ') WHEN 1 THEN '' ELSE trim(left(text, 80), chr(10) || ' ') END) AS answer_md5 FROM documents""",
+    f"""SELECT doc_id, md5(CASE doc_id % 3 WHEN 1 THEN '' ELSE {_STRIPPED} END) AS answer_md5 FROM documents""",
 )
 def think_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-27."""
-    head, k = F.left("text", F.lit(80)), F.col("doc_id") % 3
+    head, k = F.col("text"), F.col("doc_id") % 3
     raw = F.when(k == 0, F.concat(F.lit("<think>x\ny</think>a</think>\n"), head)).when(k == 1, F.concat(F.lit("<think>"), head)).otherwise(head)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_thinking(raw)).alias("answer_md5"))
 
@@ -31,12 +33,11 @@ def math_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.normalized_math(raw).alias("md"))
 
 
-@query("visible_prose", "SELECT doc_id, md5('a   ' || left(text, 40) || '  b') AS prose_md5 FROM documents WHERE NOT regexp_matches(left(text, 40), '[`$]')")
+@query("visible_prose", "SELECT doc_id, md5('a   ' || translate(text, '`$', '  ') || '  b') AS prose_md5 FROM documents")
 def visible_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL-46."""
-    head = F.left("text", F.lit(40))
-    raw = F.concat(F.lit("a `code` "), head, F.lit(" $x$b"))
-    return table(spark, sf_dir, "documents").where(~head.rlike("[`$]")).select("doc_id", F.md5(text.visible_prose(raw)).alias("prose_md5"))
+    """SCL-46: code and mathematics around a text without signs of them."""
+    raw = F.concat(F.lit("a `code` "), F.translate("text", "`$", "  "), F.lit(" $x$b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.visible_prose(raw)).alias("prose_md5"))
 
 
 @query("snippet_parts", "SELECT conv_id, turn, 3 AS parts, role AS hit FROM conversations")
@@ -74,10 +75,10 @@ def gold_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", arrays.as_text(json, " ", True).alias("joined"))
 
 
-@query("gold_answers", "SELECT doc_id, md5(trim(left(text, 50), chr(10) || ' ') || chr(10) || 'F: ' || lang) AS gold_md5, md5(trim(left(text, 50), chr(10) || ' ') || chr(10) || chr(10) || 'F: ' || lang) AS eval_md5 FROM documents")
+@query("gold_answers", f"SELECT doc_id, md5({_STRIPPED} || chr(10) || 'F: ' || lang) AS gold_md5, md5({_STRIPPED} || chr(10) || chr(10) || 'F: ' || lang) AS eval_md5 FROM documents")
 def gold_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-20: the gold answer with both separators."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(50)).alias("rationale"), F.concat(F.lit(" "), "lang").alias("output"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("rationale"), F.concat(F.lit(" "), "lang").alias("output"))
     return d.select("doc_id", F.md5(chat.gold_text("\n", "F: ")).alias("gold_md5"), F.md5(chat.gold_text("\n\n", "F: ")).alias("eval_md5"))
 
 
@@ -160,11 +161,13 @@ def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(validation.missing_keys(F.array(*map(F.lit, "abc")), have), ",").alias("missing"))
 
 
-@query("archive_plan", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'stored' ELSE 'deflated' END AS method FROM pages")
+@query("archive_plan", "SELECT page_id, CASE WHEN page_id % 12 < 8 THEN 'stored' ELSE 'deflated' END AS method FROM pages")
 def archive_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-8."""
     p = F.col("page_id")
-    f = table(spark, sf_dir, "pages").select("page_id", F.concat(p.cast("string"), F.when(p % 3 == 0, ".GGUF").otherwise(".json")).alias("file"))
+    kinds = F.array(*map(F.lit, "gguf exe dll safetensors bin zip so dylib json png gz pdf".split()))
+    kind = F.element_at(kinds, (p % 12 + 1).cast("int"))
+    f = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(".", p.cast("string"), F.when(p % 5 == 0, F.upper(kind)).otherwise(kind)).alias("file"))
     return writers.archive_plan(f).select("page_id", "method")
 
 

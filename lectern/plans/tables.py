@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 from lectern.session import table
 
 NOW = "2024-01-25 12:00:00"
+SENTENCE = "^[^.!?]*[.!?]?"
 TERMS = ("edoution", "the of")
 LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question rows made from documents: numbered lines as rationale, some with a calculation, some
-    whose conclusion copies the first point."""
+    """Question rows made from whole documents: the first sentence asks, all lines are the rationale (some
+    of them numbered, some with a calculation), the last concludes, or the first point once more."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     k = (F.lit(2) + F.col("doc_id") % 5).cast("int")
     numbered = F.array_join(F.transform(F.slice("lines", F.lit(1), k), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    rationale = F.concat(numbered, F.when(F.col("doc_id") % 3 == 0, "\nfor example 3 * 4 = 12").otherwise(""))
-    last = F.coalesce(F.try_element_at("lines", F.lit(-1)), F.lit(""))
+    rest = F.slice("lines", k + 1, F.greatest(F.size("lines") - k, F.lit(0)))
+    others = F.when(F.size(rest) > 0, F.concat(F.lit("\n"), F.array_join(rest, "\n"))).otherwise("")
+    rationale = F.concat(numbered, others, F.when(F.col("doc_id") % 3 == 0, "\nfor example 3 * 4 = 12").otherwise(""))
+    first, last = (F.coalesce(F.try_element_at("lines", F.lit(i)), F.lit("")) for i in (1, -1))
     rows = d.withColumn("lines", lines).withColumn("rationale", rationale)
     language = F.lit("")
     for code, name in LANGUAGES.items():
         language = F.when(F.col("lang") == code, name).otherwise(language)
     return rows.select(
         F.col("doc_id").alias("row_idx"), F.col("source").alias("domain"), F.concat(F.lit("Course "), "source").alias("course_name"), language.alias("language"), "lang",
-        F.trim(F.left("text", F.lit(150))).alias("instruction"), "rationale", F.when(F.col("doc_id") % 4 == 0, F.substring("rationale", 4, 60)).otherwise(last).alias("output"),
-        "text", "n_chars",
+        F.trim(F.regexp_extract(first, SENTENCE, 0)).alias("instruction"), "rationale", F.when(F.col("doc_id") % 4 == 0, first).otherwise(last).alias("output"),
+        "text", "n_chars", F.trim(F.left("text", F.lit(150))).alias("question"),
     )
 
 
@@ -38,12 +41,14 @@ lined AS (
   SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents
 ), reasoned AS (
   SELECT *, array_to_string(list_transform(lines[1:(2 + doc_id % 5)], lambda x, i: i::VARCHAR || '. ' || x), chr(10))
+            || CASE WHEN len(lines) > 2 + doc_id % 5 THEN chr(10) || array_to_string(lines[(3 + doc_id % 5):], chr(10)) ELSE '' END
             || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'for example 3 * 4 = 12' ELSE '' END AS rationale FROM lined
 ), corpus AS (
   SELECT doc_id AS row_idx, source AS domain, 'Course ' || source AS course_name, lang,
          CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE '' END AS language,
-         trim(left(text, 150)) AS instruction, rationale,
-         CASE WHEN doc_id % 4 = 0 THEN substring(rationale, 4, 60) ELSE coalesce(lines[-1], '') END AS output, text, n_chars
+         trim(regexp_extract(coalesce(lines[1], ''), '^[^.!?]*[.!?]?')) AS instruction, rationale,
+         coalesce(CASE WHEN doc_id % 4 = 0 THEN lines[1] ELSE lines[-1] END, '') AS output, text, n_chars,
+         trim(left(text, 150)) AS question
   FROM reasoned
 )"""
 

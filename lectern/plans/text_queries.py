@@ -97,14 +97,14 @@ def validation_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "integrity_gate",
-    """SELECT doc_id AS row_idx, unnest(list_filter([CASE WHEN regexp_replace(left(text, 3), '[\\s]+', '', 'g') = '' THEN 'blank instruction' END,
+    """SELECT doc_id AS row_idx, unnest(list_filter([CASE WHEN regexp_replace(text, '[\\s]+', '', 'g') = '' THEN 'blank instruction' END,
        CASE WHEN source <> 'src' || (doc_id % 20)::VARCHAR THEN 'wrong domain' END, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'blank course_name' END], lambda x: x IS NOT NULL)) AS reason FROM documents""",
 )
 def integrity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-11, FLT-30: every row that breaks the contract, with its place."""
     rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_idx"), F.when(F.col("lang").isin("en", "fr", "de"), "c").alias("course_name"), F.col("source").alias("domain"),
-        F.left("text", F.lit(3)).alias("instruction"), F.lit("r").alias("rationale"), F.lit("o").alias("output"),
+        F.col("text").alias("instruction"), F.lit("r").alias("rationale"), F.lit("o").alias("output"),
     )
     return validation.integrity_violations(rows, F.concat(F.lit("src"), (F.col("row_idx") % 20).cast("string")))
 

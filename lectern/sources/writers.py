@@ -79,7 +79,7 @@ def patched_progress(progress: Column, stage: Column, patch: Column) -> Column:
 
 
 # File kinds that are compressed already and go into an archive as they are.
-STORED_SUFFIXES = ("gguf", "safetensors", "zip", "gz", "png", "jpg", "pdf", "exe")
+STORED_SUFFIXES = ("gguf", "exe", "dll", "safetensors", "bin", "zip", "so", "dylib")
 
 
 def archive_plan(files: DataFrame) -> DataFrame:

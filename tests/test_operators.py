@@ -333,7 +333,7 @@ def test_search(spark):
     c = spark.createDataFrame([(1, "one"), (2, "two")], "conv_id long, title string")
     find = lambda q: [(r["message_id"], r["snippet"]) for r in search.search(m, c, q).collect()]
     assert {i for i, _ in find("handshake")} == {1, 3}
-    assert find("SYN-ACK") == [(1, "The \x02SYN ACK\x03 handshake opens it")]
+    assert find("SYN-ACK") == [(1, "The \x02SYN, ACK\x03 handshake opens it.")]
     assert find('ACK" OR x') == [] and find("  ") == [] and {i for i, _ in find("CAFE")} == {3}
     index = search.build_index(m)
     new = search.updated_index(index, spark.createDataFrame([(1, "nothing here")], "message_id long, text string"), spark.createDataFrame([(3,)], "message_id long"))
