@@ -32,7 +32,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("doc_id").alias("row_idx"), F.col("source").alias("domain"), F.concat(F.lit("Course "), "source").alias("course_name"), language.alias("language"), "lang",
         F.trim(F.regexp_extract(first, SENTENCE, 0)).alias("instruction"), "rationale", F.when(F.col("doc_id") % 4 == 0, first).otherwise(last).alias("output"),
-        "text", "n_chars", F.trim(F.left("text", F.lit(150))).alias("question"),
+        "text", "n_chars",
     )
 
 
@@ -47,8 +47,7 @@ lined AS (
   SELECT doc_id AS row_idx, source AS domain, 'Course ' || source AS course_name, lang,
          CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE '' END AS language,
          trim(regexp_extract(coalesce(lines[1], ''), '^[^.!?]*[.!?]?')) AS instruction, rationale,
-         coalesce(CASE WHEN doc_id % 4 = 0 THEN lines[1] ELSE lines[-1] END, '') AS output, text, n_chars,
-         trim(left(text, 150)) AS question
+         coalesce(CASE WHEN doc_id % 4 = 0 THEN lines[1] ELSE lines[-1] END, '') AS output, text, n_chars
   FROM reasoned
 )"""
 

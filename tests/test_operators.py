@@ -51,6 +51,9 @@ def questions():
     rows = [("d%d" % (i % 3), i, " ".join(rng.choice(w) for _ in range(rng.randint(2, 8)))) for i in range(90)]
     rows += [("d0", 100, ""), ("d0", 101, "!!"), ("d1", 102, "How is a stack, really?"), ("d2", 103, "How is a stack, really?")]
     a, b = "ab" * 121 + "c", "ba" * 121 + "d"
+    # alike beyond the first 150 characters, and alike there only
+    head, tail = " ".join(f"w{i}x" for i in range(40)), " ".join(f"tail{i * i}" for i in range(40))
+    rows += [("far", 300, head + tail), ("far", 301, head + tail + " end"), ("far", 302, head + tail[::-1] * 6), ("far", 303, "z" * 9000 + tail)]
     return rows + [("long", 200, a), ("long", 201, b)]
 
 
@@ -69,7 +72,9 @@ def common_subsequence(a, b):
 def test_common_subsequences_in_step(a, b):
     code = lambda texts: [np.array([ord(c) - 97 for c in t], dtype=np.int32) for t in texts]
     pairs = np.array([(i, j) for i in range(len(a)) for j in range(len(b))])
-    assert dedupe.longest_common(code(a), code(b), pairs, 3).tolist() == [common_subsequence(a[i], b[j]) for i, j in pairs]
+    want = [common_subsequence(a[i], b[j]) for i, j in pairs]
+    for narrow in (0, 64, 256):
+        assert dedupe.longest_common(code(a), code(b), pairs, 3, narrow).tolist() == want
 
 
 def test_bounds_leave_every_similar_pair(spark):
