@@ -16,6 +16,7 @@ a verified group gives at most one row for each member, never its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,29 @@ from pyspark.sql import functions as F
 from lectern.llm.common import stored
 from lectern.llm.shingles import _power, mix
 
-MOST_EDITS = 2
 CHARS_PER_EDIT = 10
+GROWTH = 8
 _NOT_BLANK = "[^\\x09-\\x0D ]"
 
 
+def shortest(edits: int) -> int:
+    """The length from which a line is allowed ``edits`` edits: 10 and 20 for the first two, then
+    ``GROWTH`` times their cube. A line of t edits needs about t ** 3 / 3 probes, so that probes stay in
+    proportion to the characters of long lines too."""
+    return CHARS_PER_EDIT * edits if edits < 3 else GROWTH * edits**3
+
+
+def allowances(length: np.ndarray) -> np.ndarray:
+    """``allowed`` of many lengths."""
+    steps = [shortest(1)]
+    while steps[-1] <= int(length.max(initial=0)):
+        steps.append(shortest(len(steps) + 1))
+    return np.searchsorted(np.array(steps), length, side="right")
+
+
 def allowed(length: int) -> int:
     """Edits that a pair may have whose shorter line has ``length`` characters."""
-    return min(MOST_EDITS, length // CHARS_PER_EDIT)
+    return int(allowances(np.array([length]))[0])
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -68,12 +84,15 @@ def within(a: str, b: str, most: int) -> bool:
     reach = [0] * (most + 1)
     for e in range(most + 1):
         reach[e] = sum(1 << (most + d) for d in range(e + 1))
+    places: dict[str, int] = {}  # of each character of b, up to the end of the band
+    for j, c in enumerate(b[:most]):
+        places[c] = places.get(c, 0) | 1 << j
     for i, c in enumerate(a):
-        same = 0
-        for d in range(width):
-            j = i + d - most
-            if 0 <= j < len(b) and b[j] == c:
-                same |= 1 << d
+        if i + most < len(b):
+            ahead = b[i + most]
+            places[ahead] = places.get(ahead, 0) | 1 << (i + most)
+        at = places.get(c, 0)
+        same = (at >> (i - most) if i >= most else at << (most - i)) & full
         new = []
         for e in range(most + 1):
             bits = reach[e] & same  # equal characters: same diagonal
@@ -88,15 +107,19 @@ def within(a: str, b: str, most: int) -> bool:
     return any(r >> end & 1 for r in reach)
 
 
-def _segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, size) of each of ``parts`` nearly equal segments; the last ones take the remainder."""
-    base, more = length // parts, length % parts
-    out, at = [], np.zeros_like(length)
-    for i in range(parts):
-        size = base + (parts - i <= more)
-        out.append((at, size))
-        at = at + size
-    return out
+@cache
+def _pieces(edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(how much longer the line is than the lines it looks for, segment, shift, is a probe) of all keys of a
+    line: its own segments, and the substrings that the multi-match rule leaves."""
+    own = [(0, i, 0, False) for i in range(edits + 1)]
+    probes = [
+        (longer, i, shift, True)
+        for longer in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1)
+    ]
+    longer, segment, shift, probe = (np.array(x) for x in zip(*own, *probes, strict=True))
+    return longer, segment, shift, probe
 
 
 def segment_keys(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,26 +148,29 @@ def segment_keys(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarr
     solid = space[start + length] - space[start] < length
     keys, owners, probes = [], [], []
 
-    def add(which: np.ndarray, at: np.ndarray, size: np.ndarray, of_length: np.ndarray, segment: int, probe: bool) -> None:
-        content = (sums[at + size] - sums[at]) * down[at]
-        tag = of_length.astype(np.uint64) * np.uint64(8) + np.uint64(segment)
-        keys.append(mix(mix(content) ^ mix(tag)).view(np.int64))
-        owners.append(names[which])
-        probes.append(np.full(len(which), probe))
-
-    for edits in range(1, MOST_EDITS + 1):
-        top = np.iinfo(np.int64).max if edits == MOST_EDITS else (edits + 1) * CHARS_PER_EDIT - 1
-        own = np.flatnonzero(solid & (length >= edits * CHARS_PER_EDIT) & (length <= top))
-        for i, (at, size) in enumerate(_segments(length[own], edits + 1)):
-            add(own, start[own] + at, size, length[own], i, False)
-        for longer in range(edits + 1):
-            short = length - longer
-            able = np.flatnonzero(solid & (short >= edits * CHARS_PER_EDIT) & (short <= top))
-            for i, (at, size) in enumerate(_segments(short[able], edits + 1)):
-                for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
-                    place = at + shift
-                    ok = (place >= 0) & (place + size <= length[able])
-                    add(able[ok], start[able][ok] + place[ok], size[ok], short[able][ok], i, True)
+    most = allowances(length)
+    fewer = allowances(length - most)  # lengths of allowances lie further apart than edits reach
+    for edits in np.unique(np.concatenate([most, fewer])).tolist():
+        if not edits:
+            continue
+        longer, segment, shift, probe = _pieces(edits)
+        rows = np.flatnonzero(solid & ((most == edits) | (fewer == edits)))
+        step = max(1, 1_000_000 // len(longer))
+        for some in (rows[k : k + step] for k in range(0, len(rows), step)):
+            short = length[some][:, None] - longer
+            base, more = np.divmod(short, edits + 1)
+            size = base + (edits + 1 - segment <= more)  # the last segments take the remainder
+            place = segment * base + np.maximum(0, segment - (edits + 1 - more)) + shift
+            ok = (short >= shortest(edits)) & (short < shortest(edits + 1)) & (place >= 0) & (place + size <= length[some][:, None])
+            which, piece = np.nonzero(ok)
+            at = start[some][which] + place[ok]
+            content = (sums[at + size[ok]] - sums[at]) * down[at]
+            tag = (short[ok].astype(np.uint64) << np.uint64(20)) + segment[piece].astype(np.uint64)
+            keys.append(mix(mix(content) ^ mix(tag)).view(np.int64))
+            owners.append(names[some][which])
+            probes.append(probe[piece])
+    if not keys:
+        return none, none, np.zeros(0, dtype=bool)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(probes)
 
 
@@ -203,13 +229,14 @@ def _near_lines(members: DataFrame, lines: DataFrame) -> DataFrame:
             found = []
             bins = np.zeros((len(rows), 32), dtype=np.int16)
             size = np.array([len(r[3]) for r in rows])
+            most = allowances(size)
             for i, r in enumerate(rows):
                 chars = np.frombuffer(r[3].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 bins[i] = np.minimum(np.bincount(chars & 31, minlength=32), 30_000)
                 if i:
-                    # each edit moves two counts at most
-                    near = np.flatnonzero((np.abs(size[:i] - size[i]) <= MOST_EDITS) & (np.abs(bins[:i] - bins[i]).sum(axis=1) <= 2 * MOST_EDITS))
-                    if any(within(rows[j][3], r[3], allowed(int(min(size[j], size[i])))) for j in near.tolist()):
+                    edits = np.minimum(most[:i], most[i])  # each edit moves two counts at most
+                    near = np.flatnonzero((np.abs(size[:i] - size[i]) <= edits) & (np.abs(bins[:i] - bins[i]).sum(axis=1) <= 2 * edits))
+                    if any(within(rows[j][3], r[3], int(edits[j])) for j in near.tolist()):
                         found.append((r[1], r[2]))
             return found
 
@@ -245,7 +272,8 @@ def _split(text: Column) -> Column:
 
 
 def dedupe_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", broadcast_rows: int = 500_000) -> DataFrame:
-    """Drop every line that repeats an earlier one, exactly or within ``allowed`` edits.
+    """Drop every line that repeats an earlier one, exactly or within ``allowed`` edits: one from 10
+    characters, two from 20, three from 216, and t from 8 * t ** 3.
 
     Lines are what newlines separate; order is that of ids (null last; then of the text's hash) and
     of places in a text. Of equal lines the first occurrence stays. A line is also dropped, with

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
-from lectern.llm.lines import allowed, dedupe_lines, within
+from lectern.llm.lines import allowed, dedupe_lines, segment_keys, within
 from lectern.llm.passages import _sequence, _sequences, common_stretches, compact_windows, rare_shingles, repeated_passages
 from lectern.llm.shingles import MinHasher, mix, set_overlaps, shingle_set, word_hashes
 
@@ -169,7 +169,7 @@ def distance(a, b):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("abc", max_size=12), st.text("abc", max_size=12), st.integers(0, 4))
+@given(st.text("abc", max_size=24), st.text("abc", max_size=24), st.integers(0, 7))
 def test_band_decides_as_the_whole_table_does(a, b, most):
     assert within(a, b, most) == (distance(a, b) <= most)
 
@@ -202,7 +202,7 @@ def brute_lines(rows):
 
 
 def edited(rng, line):
-    for _ in range(rng.randint(0, 3)):
+    for _ in range(rng.randint(0, min(3, 1 + allowed(len(line)))) if len(line) < 200 else rng.choice([0, 1, allowed(len(line)), allowed(len(line)) + 1])):
         k, at = rng.randrange(3), rng.randrange(len(line) + 1)
         line = line[:at] + rng.choice("xyzé ") + line[at:] if k == 0 else line[:at] + line[at + 1 :] if k == 1 else line[:at] + rng.choice("xyz") + line[at + 1 :]
     return line
@@ -220,6 +220,36 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == brute_lines(rows)
 
 
+def test_allowances_grow_with_length():
+    assert [allowed(n) for n in (0, 9, 10, 19, 20, 215, 216, 511, 512, 1000, 8000, 10**6)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 5, 10, 50]
+
+
+def test_lines_within_their_allowance_share_a_segment():
+    rng = random.Random(12)
+    for n in [10, 20, 30, 214, 215, 216, 217, 511, 512, 515, 999, 1000, 1003, 1731, 8004] * 6:
+        a = "".join(rng.choice("abcdefgh é") for _ in range(n))
+        b = a
+        for _ in range(allowed(n)):
+            k, at = rng.randrange(3), rng.randrange(len(b) + 1)
+            b = b[:at] + (rng.choice("xyz") if k else "") + b[at + (k < 2) :]
+        most = allowed(min(len(a), len(b)))
+        if a == b or abs(len(a) - len(b)) > most or not within(a, b, most):
+            continue
+        (ka, _, pa), (kb, _, pb) = (segment_keys([x], set()) for x in (a, b))
+        assert set(ka[~pa]) & set(kb[pb]) or set(ka[pa]) & set(kb[~pb]), (n, a, b)
+
+
+def test_line_dedup_of_long_lines_with_a_changed_word(spark):
+    rng = random.Random(14)
+    lines = [" ".join(words(rng, n, 10_000)) for n in (35, 45, 80)]
+    changed = [x[: len(x) // 2] + "abc" + x[len(x) // 2 + 3 :] for x in lines]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(changed))]
+    rows += [(3 + i, "\n".join(edited(rng, rng.choice(lines)) for _ in range(3))) for i in range(8)]
+    got = dedupe_lines(frame(spark, rows)).select("doc_id", "text", "lines", "exact", "near").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows)
+    assert {r["doc_id"]: r["near"] for r in got}[2] == 3
+
+
 def test_line_dedup_keeps_other_columns_and_nulls(spark):
     rows = [(None, "the same line in two rows of null id"), (None, "the same line in two rows of null id"), (1, "the same line in two rows of null id")]
     got = dedupe_lines(frame(spark, rows))
