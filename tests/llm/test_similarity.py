@@ -241,7 +241,7 @@ def test_lines_within_their_allowance_share_a_segment():
 
 def test_line_dedup_of_long_lines_with_a_changed_word(spark):
     rng = random.Random(14)
-    lines = [" ".join(words(rng, n, 10_000)) for n in (35, 45, 80)]
+    lines = [" ".join(words(rng, n, 10_000)) for n in (40, 45, 80)]
     changed = [x[: len(x) // 2] + "abc" + x[len(x) // 2 + 3 :] for x in lines]
     rows = [(1, "\n".join(lines)), (2, "\n".join(changed))]
     rows += [(3 + i, "\n".join(edited(rng, rng.choice(lines)) for _ in range(3))) for i in range(8)]
