@@ -59,19 +59,33 @@ class InvertedIndex:
         return left[np.argsort(-score[left], kind="stable")]
 
 
-def lexical_keys(ids: np.ndarray, weight: np.ndarray) -> tuple[int, int, int]:
-    """Three weighted min-hashes over the distinct ids: an id is the key with a chance in proportion
-    to its ``weight``, the same for all documents that hold it. Equal sets have equal keys."""
-    some = np.unique(ids)
-    some = some[weight[some] > 0]
-    if not len(some):
-        return (0, 0, 0)
-    keys = []
+def key_tables(weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of three hashes: the place of every id in the order in which ids become keys (an id comes
+    early with a chance in proportion to its ``weight``; ids of no weight are last), and the keys by place."""
+    heavy = np.flatnonzero(weight > 0)
+    tables = []
     for k in (1, 2, 3):
-        name = mix(some.astype(np.uint64) + np.uint64(k << 32))
+        name = mix(heavy.astype(np.uint64) + np.uint64(k << 32))
         chance = ((name >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
-        keys.append(int(name[np.argmin(-np.log(chance) / weight[some])] >> np.uint64(1)))
-    return tuple(keys)  # type: ignore[return-value]
+        order = np.argsort(-np.log(chance) / weight[heavy], kind="stable")
+        place = np.full(len(weight), len(heavy), dtype=np.int32)
+        place[heavy[order]] = np.arange(len(heavy))
+        tables.append((place, np.append((name[order] >> np.uint64(1)).astype(np.int64), 0)))
+    return tables
+
+
+def lexical_keys(docs: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Three weighted min-hashes over the ids of each document, by ``key_tables``; 0 if none of them has
+    weight. An id's chance is the same for all documents that hold it, and equal sets have equal keys."""
+    keys = np.zeros((len(docs), len(tables)), dtype=np.int64)
+    size = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+    some = np.flatnonzero(size)
+    if len(some):
+        ids = np.concatenate(docs)
+        start = (np.cumsum(size) - size)[some]
+        for k, (place, name) in enumerate(tables):
+            keys[some, k] = name[np.minimum.reduceat(place[ids], start)]
+    return keys
 
 
 def token_weights(encoded: DataFrame) -> np.ndarray:
@@ -198,8 +212,9 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([e.astype("<u4").tobytes() for e in encoded], pa.binary())], ["doc_id", "ids"])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = key_tables(weight)
         for batch in batches:
-            keys = np.array([lexical_keys(np.frombuffer(e.as_buffer(), dtype="<u4"), weight) for e in batch.column(1)], dtype=np.int64).reshape(-1, 3)
+            keys = lexical_keys([np.frombuffer(e.as_buffer(), dtype="<u4") for e in batch.column(1)], tables)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(keys[:, i]) for i in range(3))], ["doc_id", "ids", "k1", "k2", "k3"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
