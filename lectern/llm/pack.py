@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import give_back, lean, stored
 from lectern.llm.shingles import mix
 from lectern.llm.tokens import word_encoder
 
@@ -34,16 +34,17 @@ class InvertedIndex:
         unique = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(t) for t, _ in unique], dtype=np.int64)
         terms = np.concatenate([t for t, _ in unique])
-        tf = np.concatenate([c for _, c in unique]).astype(np.float64)
-        owner = np.repeat(np.arange(self.n), sizes)
-        lengths = np.array([len(d) for d in docs], dtype=np.float64)
+        tf = np.concatenate([c for _, c in unique]).astype(np.float32)
+        del unique
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        lengths = np.array([len(d) for d in docs], dtype=np.float32)
         order = np.argsort(terms, kind="stable")
         _, self.first, self.df = np.unique(terms[order], return_index=True, return_counts=True)
-        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
-        norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean()))
-        self.place = np.empty(len(terms), dtype=np.int64)  # of each document's terms among all terms
-        self.place[order] = np.repeat(np.arange(len(self.df)), self.df)
-        weight = idf[self.place] * tf * (k1 + 1) / (tf + norm[owner])
+        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+        norm = (k1 * (1 - b + b * lengths / max(1.0, float(lengths.mean())))).astype(np.float32)
+        self.place = np.empty(len(terms), dtype=np.int32)  # of each document's terms among all terms
+        self.place[order] = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        weight = idf[self.place] * tf * np.float32(k1 + 1) / (tf + norm[owner])
         self.docs, self.weights = owner[order], weight[order]
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
@@ -104,7 +105,7 @@ def token_weights(encoded: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
 
     rows = encoded.count()
-    found = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = encoded.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     weight = np.zeros(int(found["id"].max()) + 1 if len(found) else 1)
     weight[found["id"].to_numpy(np.int64)] = np.where(found["n"] > 1, np.log(np.maximum(rows / found["n"], 1.0)) ** 2, 0.0)
     return weight
@@ -212,6 +213,7 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([e.astype("<u4").tobytes() for e in encoded], pa.binary())], ["doc_id", "ids"])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_encoder.cache_clear()  # all texts are encoded by now
         tables = key_tables(weight)
         for batch in batches:
             keys = lexical_keys([np.frombuffer(e.as_buffer(), dtype="<u4") for e in batch.column(1)], tables)
@@ -220,6 +222,8 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        word_encoder.cache_clear()
+        give_back()
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -248,9 +252,9 @@ def pack_documents(
         if held:
             yield flush()
 
-    encoded, _ = stored(docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(encode, _IDS), "pack-ids")
+    encoded, _ = stored(docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(lean(encode), _IDS), "pack-ids")
     total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids") + 8), F.lit(0))).first()[0]
     order = ["k1", "k2", "k3", F.xxhash64("doc_id", "ids"), "doc_id"]
     weight = token_weights(encoded)
-    dealt = encoded.mapInArrow(key, _KEYED).repartitionByRange(int(total // task_bytes) + 1, *order).sortWithinPartitions(*order, "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(pack, _OUT)
+    dealt = encoded.mapInArrow(lean(key), _KEYED).repartitionByRange(int(total // task_bytes) + 1, *order).sortWithinPartitions(*order, "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(lean(pack), _OUT)
