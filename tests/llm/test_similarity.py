@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
 from lectern.llm.lines import allowed, dedupe_lines, segment_keys, within
-from lectern.llm.passages import _sequence, _sequences, common_stretches, compact_windows, rare_shingles, repeated_passages
+from lectern.llm.passages import Sequence, _in_order, _sequence, _sequences, common_stretches, compact_windows, rare_shingles, repeated_passages
 from lectern.llm.shingles import MinHasher, mix, set_overlaps, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, sig int, line string, lines long, key int"
@@ -75,6 +75,21 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_few_edges_are_settled_at_once(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(330)] + [(2000 + i, 2001 + i) for i in range(300)]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(2)
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "few-edges")
+    few = components(df)
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-edges"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    rounds = components(df, few=0)
+    assert sorted(few.collect()) == sorted(rounds.collect())
+    assert jobs <= 6  # not some per round: a path of 300 edges takes many
+    assert components(df.where("a > 9999")).collect() == []
+
+
 # --- Jaccard join -----------------------------------------------------------------------------
 
 
@@ -427,6 +442,30 @@ def test_common_stretches_with_a_change_at_any_place():
             assert got[0][0] == got[0][2]
 
 
+def test_hashes_of_equal_upper_bits_are_in_order():
+    rng = np.random.default_rng(4)
+    for x in (rng.integers(0, 9, 50), rng.integers(0, 1 << 63, 700), np.full(3, 7), np.zeros(0), np.array([1, 1 << 63, 0, 1])):
+        x = x.astype(np.uint64)
+        assert _in_order(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_similarity_of_stretches_counts_each_repeated_shingle_once():
+    rng = np.random.default_rng(6)
+    met = 0
+    for n in range(200):
+        a = rng.integers(0, (30, 10**9)[n % 2], 120).astype(np.uint64)
+        b = a.copy()
+        b[rng.integers(0, 120, 4)] = rng.integers(0, 40, 4).astype(np.uint64)
+        b = np.concatenate([b[:60], a[20:40], b[60:]]) if n % 3 else b
+        for x, y in ((a, b), (b, a)):
+            found = common_stretches(Sequence(x), Sequence(y), 46, 0.8)
+            met += len(found)
+            for s, e, u, v, j in found:
+                p, q = set(x[s:e].tolist()), set(y[u:v].tolist())
+                assert j == len(p & q) / len(p | q)
+    assert met > 200
+
+
 def test_every_place_of_a_passage_is_reported(spark):
     rng = random.Random(31)
     rows, places = [], {}
