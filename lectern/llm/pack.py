@@ -38,8 +38,12 @@ class InvertedIndex:
         del unique
         owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         lengths = np.array([len(d) for d in docs], dtype=np.float32)
-        order = np.argsort(terms, kind="stable")
-        _, self.first, self.df = np.unique(terms[order], return_index=True, return_counts=True)
+        # numbers of 16 bits, as most vocabularies have, are sorted by digits
+        order = np.argsort(terms.astype(np.uint16) if int(terms.max()) < 1 << 16 else terms, kind="stable")
+        held = terms[order]
+        self.first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        self.df = np.diff(np.append(self.first, len(held)))
+        del held
         idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
         norm = (k1 * (1 - b + b * lengths / max(1.0, float(lengths.mean())))).astype(np.float32)
         self.place = np.empty(len(terms), dtype=np.int32)  # of each document's terms among all terms

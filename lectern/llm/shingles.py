@@ -37,12 +37,13 @@ def hashed_words(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.n
     bytes before which a word is cut too."""
     solid = ~_SPACE[data]
     before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
-    starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(before & ~solid)
+    begin, end = solid & ~before, before & ~solid
+    if cuts is not None:
+        inner = cuts & solid & before
+        begin, end = begin | inner, end | inner
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
     if len(data) and solid[-1]:
         ends = np.append(ends, len(data))
-    if cuts is not None:
-        inner = np.flatnonzero(cuts & solid & before)
-        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts]), starts, ends

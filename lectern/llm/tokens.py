@@ -59,8 +59,8 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.names = np.zeros(0, dtype=np.uint64)  # hashes of known words, sorted
-        self.starts = np.zeros(0, dtype=np.int64)  # where each one's ids begin in flat
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(0, dtype=np.int32)  # where each one's ids begin in flat
+        self.counts = np.zeros(0, dtype=np.int16)  # words are short: see _LONG_WORD
         self.flat = np.zeros(0, dtype=np.int32)
 
     def _learn(self, names: np.ndarray, words: list[str]) -> None:
@@ -90,7 +90,7 @@ class WordEncoder:
             self._learn(names[new], words)
             at = np.searchsorted(self.names, names)
         at = at[which]
-        counts = self.counts[at]
+        counts = self.counts[at].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.repeat(self.starts[at] - total[:-1], counts) + np.arange(total[-1])]
         sizes = np.cumsum([len(t) + 1 for t in texts])
@@ -102,8 +102,9 @@ class WordEncoder:
         plain, places = [], []
         for i, text in enumerate(texts):
             if _PLAIN.fullmatch(text):
-                body = text.lower().replace("\x85", " ").replace("\xa0", " ").encode()
-                if max(map(len, body.split()), default=0) <= _LONG_WORD and not self.added.search(text.lower()):
+                low = text.lower()
+                body = low.replace("\x85", " ").replace("\xa0", " ").encode()
+                if max(map(len, body.split()), default=0) <= _LONG_WORD and not self.added.search(low):
                     plain.append(body)
                     places.append(i)
                     continue

@@ -199,3 +199,15 @@ def test_related_documents_share_windows_wherever_they_are_stored(spark, topics)
 
 def test_packing_nothing(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), vocabulary()).count() == 0
+
+
+def test_known_words_are_held_in_few_bytes():
+    import numpy as np
+
+    from lectern.llm.queries import vocabulary
+    from lectern.llm.tokens import WordEncoder
+
+    encoder = WordEncoder(vocabulary())
+    first = encoder.encode(["Some words, and don't.", "words and words"])
+    assert all(np.array_equal(x, y) for x, y in zip(first, encoder.encode(["Some words, and don't.", "words and words"]), strict=True))
+    assert (encoder.starts.itemsize, encoder.counts.itemsize) == (4, 2)
