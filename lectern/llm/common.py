@@ -37,8 +37,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory of this Python worker to the system, where the C library can: it keeps
-    what large arrays and texts leave behind, and idle workers would hold that for the next tasks."""
+    """Return freed memory of this Python worker to the system, where Arrow and the C library can: they
+    keep what large arrays and texts leave behind, and idle workers would hold that for the next tasks."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

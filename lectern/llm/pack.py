@@ -93,18 +93,27 @@ def lexical_keys(docs: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarr
     return keys
 
 
+def forget_words() -> None:
+    """Drop this worker's encoder, once all texts are encoded, and give its memory back before other work begins."""
+    word_encoder.cache_clear()
+    give_back()
+
+
 def token_weights(encoded: DataFrame) -> np.ndarray:
     """The squared inverse document frequency of every token id, from all documents; none for ids of a
     single document. What reaches the driver is one count for each id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << 16, dtype=np.int64)
+        forget_words()
+        n, last = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             for e in batch.column(0):
-                some = np.unique(np.frombuffer(e.as_buffer(), dtype="<u4"))
-                if len(some) and some[-1] >= len(n):
-                    n = np.concatenate([n, np.zeros(int(some[-1]) + 1, dtype=np.int64)])
-                n[some] += 1
+                ids = np.frombuffer(e.as_buffer(), dtype="<u4")
+                if len(ids) and (most := int(ids.max())) >= len(n):
+                    n, last = (np.concatenate([v, np.zeros(most + 1, dtype=np.int64)]) for v in (n, last))
+                at = np.arange(len(ids))
+                last[ids] = at  # of equal ids, one place stays
+                n[ids[last[ids] == at]] += 1
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
 
@@ -215,9 +224,10 @@ def pack_documents(
                 some = batch.slice(at, 256)
                 encoded = encoder.encode([t or "" for t in some.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([e.astype("<u4").tobytes() for e in encoded], pa.binary())], ["doc_id", "ids"])
+            give_back()  # a task has many batches, and what one leaves behind would add up
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_encoder.cache_clear()  # all texts are encoded by now
+        forget_words()
         tables = key_tables(weight)
         for batch in batches:
             keys = lexical_keys([np.frombuffer(e.as_buffer(), dtype="<u4") for e in batch.column(1)], tables)
@@ -226,8 +236,7 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        word_encoder.cache_clear()
-        give_back()
+        forget_words()
         base = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         held: list[np.ndarray] = []

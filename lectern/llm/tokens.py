@@ -22,6 +22,8 @@ _MARK = "\x01"
 # Where Python's lower() agrees with the vocabulary's own normalizer, and white space is known.
 _PLAIN = re.compile("[\x00\x02-\x1b\x20-\u012f\u0131-\u017f]*")
 _LONG_WORD = 64
+#: So many new words go to the tokenizer in one call, whose own memory grows with the text it gets.
+_AT_ONCE = 2048
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -64,9 +66,12 @@ class WordEncoder:
         self.flat = np.zeros(0, dtype=np.int32)
 
     def _learn(self, names: np.ndarray, words: list[str]) -> None:
-        """Encode new words in one call, with a mark behind each."""
-        joined = f" {_MARK} ".join(words) + f" {_MARK}"
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+        """Encode new words, many in one call, with a mark behind each."""
+        parts = []
+        for at in range(0, len(words), _AT_ONCE):
+            joined = f" {_MARK} ".join(words[at : at + _AT_ONCE]) + f" {_MARK}"
+            parts.append(np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32))
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.mark[0])
         if len(ends) != len(words):
             raise ValueError("the mark occurs inside a word")

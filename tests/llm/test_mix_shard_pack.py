@@ -8,10 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm.mix import fit_budget, mix_sources, mix_targets
-from lectern.llm.pack import pack_documents, pack_shard
+from lectern.llm.pack import forget_words, pack_documents, pack_shard, token_weights
 from lectern.llm.queries import vocabulary
 from lectern.llm.shard import shard_documents
-from lectern.llm.tokens import WordEncoder
+from lectern.llm.tokens import WordEncoder, word_encoder
 
 SCHEMA = "doc_id long, text string, source string, size int, shard string, bytes int"
 
@@ -211,3 +211,34 @@ def test_known_words_are_held_in_few_bytes():
     first = encoder.encode(["Some words, and don't.", "words and words"])
     assert all(np.array_equal(x, y) for x, y in zip(first, encoder.encode(["Some words, and don't.", "words and words"]), strict=True))
     assert (encoder.starts.itemsize, encoder.counts.itemsize) == (4, 2)
+
+
+def test_new_words_reach_the_tokenizer_in_bounded_parts():
+    encoder = WordEncoder(vocabulary())
+    plain, asked = encoder.tokenizer, []
+
+    class Told:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(max(len(t.split()) for t in texts))
+            return plain.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Told()
+    text = " ".join(f"w{i}x" for i in range(9000))
+    assert encoder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert max(asked) <= 2 * 2048
+
+
+def test_words_are_forgotten_once_texts_are_encoded():
+    first = word_encoder(vocabulary())
+    forget_words()
+    assert word_encoder.cache_info().currsize == 0 and word_encoder(vocabulary()) is not first
+    forget_words()
+
+
+def test_token_weights_count_each_document_once(spark):
+    docs = [[5, 5, 9], [9, 70_000, 5], [], [70_000, 1]]
+    rows = [(i, bytearray(np.array(d, dtype="<u4").tobytes())) for i, d in enumerate(docs)]
+    weight = token_weights(spark.createDataFrame(rows, "doc_id long, ids binary"))
+    assert len(weight) == 70_001 and weight[1] == 0
+    for i in (5, 9, 70_000):
+        assert abs(weight[i] - np.log(4 / 2) ** 2) < 1e-12
