@@ -2,14 +2,16 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lectern.llm import passages
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
 from lectern.llm.lines import allowed, dedupe_lines, segment_keys, within
-from lectern.llm.passages import Sequence, _in_order, _sequence, _sequences, common_stretches, compact_windows, rare_shingles, repeated_passages
+from lectern.llm.passages import Sequence, _highest, _in_order, _sequence, _sequences, _several, common_stretches, compact_windows, near_stretches, rare_shingles, repeated_passages
 from lectern.llm.shingles import MinHasher, mix, set_overlaps, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, sig int, line string, lines long, key int"
@@ -504,3 +506,38 @@ def test_no_passages_in_nothing(spark):
     assert repeated_passages(frame(spark, [])).count() == 0
     assert repeated_passages(frame(spark, [(1, None), (2, "short")])).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_texts_that_cannot_be_near_are_settled_without_a_search(monkeypatch):
+    rng = np.random.default_rng(5)
+    asked = []
+    search = common_stretches
+    monkeypatch.setattr(passages, "common_stretches", lambda *a: asked.append(a) or search(*a))
+    a = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+    b = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+    b[50:85] = a[20:55]  # 35 of any 46 in common at most: three quarters
+    assert near_stretches(Sequence(a), Sequence(b), 46, 0.8) == [] and not asked
+    for kinds in (1 << 60, 90, 40):  # without repeats, with some, with many
+        for _ in range(150):
+            a, b = (rng.integers(0, kinds, int(n), dtype=np.uint64) for n in rng.integers(30, 160, 2))
+            n = int(min(len(a), len(b), rng.integers(30, 90)))
+            b[len(b) - n :] = a[:n]
+            at = rng.integers(0, len(b), int(rng.integers(0, 10)))
+            b[at] = rng.integers(0, 1 << 60, len(at), dtype=np.uint64)
+            both = {*search(a, b, 46, 0.8)} | {(u, v, s, e, j) for s, e, u, v, j in search(b, a, 46, 0.8)}
+            assert near_stretches(Sequence(a), Sequence(b), 46, 0.8) == sorted(both)
+
+
+def test_highest_of_the_runs_that_hold_a_place():
+    rng = np.random.default_rng(3)
+    for n in (3, 5, 6, 23, 50):
+        least = rng.integers(0, 99, max(0, n - 5 + 1), dtype=np.uint64)
+        assert _highest(least, 5, n).tolist() == [max(least[max(0, p - 4) : p + 1].tolist(), default=0) for p in range(n)]
+
+
+def test_keys_of_several_texts_are_kept_whatever_their_order():
+    rows = [(1, 7), (1, 7), (2, 9), (2, 4), (2, 9), (3, 5), (4, 1), (4, 1), (4, 2)]
+    for cut in range(1, 9):
+        parts = [pa.RecordBatch.from_pydict({"k": [r[0] for r in p], "t": [r[1] for r in p]}) for p in (rows[:cut], rows[cut:])]
+        got = [tuple(r.values()) for b in _several(2)(iter(parts)) for r in b.to_pylist()]
+        assert got == [r for r in rows if r[0] in (2, 4)]
