@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BATCH_ROWS = 2000
+#: For steps between which only numbers travel; whole texts go by ``BATCH_BYTES`` there too.
+NUMBER_ROWS = 20_000
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,6 +40,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Let up to ``rows`` rows or BATCH_BYTES travel at a time, if the session's own setting is not lower
+    than BATCH_ROWS; then as before."""
+    small_batches(spark)
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in wanted}
+    if rows > BATCH_ROWS and int(before["spark.sql.execution.arrow.maxRecordsPerBatch"]) == BATCH_ROWS:
+        for key, value in wanted.items():
+            spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system, where Arrow and the C library can: they
     keep what large arrays and texts leave behind, and idle workers would hold that for the next tasks."""
@@ -61,13 +82,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: its lineage ends at files that
-    survive the loss of any executor. Returns the new frame and its path (see ``drop``)."""
+    survive the loss of any executor. Returns the new frame and its path (see ``drop``).
+    ``rows``: how many may travel to a Python worker at a time (see ``batches_of``)."""
     spark = df.sparkSession
-    small_batches(spark)
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with batches_of(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import NUMBER_ROWS, stored
 from lectern.llm.shingles import _power, mix
 
 CHARS_PER_EDIT = 10
@@ -108,22 +108,25 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 @cache
-def _pieces(edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(edits: int, again: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(how much longer the line is than the lines it looks for, segment, shift, is a probe) of all keys of a
-    line: its own segments, and the substrings that the multi-match rule leaves."""
+    line: its own segments, and the substrings that the multi-match rule leaves; without ``again``, only those
+    that are not its own segments (which may stand for both)."""
     own = [(0, i, 0, False) for i in range(edits + 1)]
     probes = [
         (longer, i, shift, True)
         for longer in range(edits + 1)
         for i in range(edits + 1)
         for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1)
+        if again or longer or shift
     ]
     longer, segment, shift, probe = (np.array(x) for x in zip(*own, *probes, strict=True))
     return longer, segment, shift, probe
 
 
-def segment_keys(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line hash, is a probe) of all lines of ``texts`` whose hashes are not in ``seen`` yet."""
+def segment_keys(texts: list[str], seen: set[int], again: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line hash, is a probe) of all lines of ``texts`` whose hashes are not in ``seen`` yet; without
+    ``again``, no probes that are a line's own segments."""
     lines, hashes = [], []
     for t in texts:
         for line in t.split("\n"):
@@ -153,7 +156,7 @@ def segment_keys(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarr
     for edits in np.unique(np.concatenate([most, fewer])).tolist():
         if not edits:
             continue
-        longer, segment, shift, probe = _pieces(edits)
+        longer, segment, shift, probe = _pieces(edits, again)
         rows = np.flatnonzero(solid & ((most == edits) | (fewer == edits)))
         step = max(1, 1_000_000 // len(longer))
         for some in (rows[k : k + step] for k in range(0, len(rows), step)):
@@ -174,6 +177,45 @@ def segment_keys(texts: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(probes)
 
 
+def _once(k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of (key, line), in order."""
+    by = np.lexsort((h, k))
+    k, h = k[by], h[by]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])[: len(k)]
+    return k[new], h[new]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of keys under which an index meets a probe of another line. Rows (key, line) come in
+    the order of keys, lines of one key in any order; the lowest bit of a key says that it is a probe's only.
+    Keeps what the last key of a batch has for the next one."""
+    k, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    alone = 0  # different rows kept of that key, when last counted
+
+    def close(k: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        name = k >> 1
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        size = np.diff(np.append(first, len(k)))
+        several = np.logical_or.reduceat(h != np.repeat(h[first], size), first)
+        ok = np.repeat(several & (k[first] & 1 == 0), size)  # a key's indexes, which probe too, come first
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in _once(name[ok], h[ok])], ["key", "line"])
+
+    for batch in batches:
+        k, h = (np.concatenate([v, batch.column(i).to_numpy()]) for i, v in enumerate((k, h)))
+        if not len(k):
+            continue
+        last = int(np.searchsorted(k, k[-1] & ~1))
+        if last:
+            yield close(k[:last], h[:last])
+            k, h, alone = k[last:], h[last:], 0
+        # a line comes from each task that reads it
+        if len(k) > 2 * alone + (1 << 16):
+            k, h = _once(k, h)
+            alone = len(k)
+    if len(k):
+        yield close(k, h)
+
+
 def _meeting(docs: DataFrame, text: str) -> DataFrame:
     """(key, line): the members of all keys under which an index meets a probe of another line."""
 
@@ -181,44 +223,15 @@ def _meeting(docs: DataFrame, text: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
-                k, h, p = segment_keys([t for t in batch.column(0).slice(a, 128).to_pylist() if t], seen)
+                k, h, p = segment_keys([t for t in batch.column(0).slice(a, 128).to_pylist() if t], seen, again=False)
                 if len(seen) > 2_000_000:
                     seen.clear()  # lines may then be sent again; equal members fall together below
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(p)], ["key", "line", "probe"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key and line. Keeps what the last key of a batch has for the next one."""
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        names = ["key", "line"]
-
-        def close(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
-            several = np.bincount(group, np.concatenate([[False], (h[1:] != h[:-1]) & (k[1:] == k[:-1])])) > 0
-            mixed = (np.bincount(group, p) > 0) & (np.bincount(group, ~p) > 0)
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
-            ok = (several & mixed)[group] & new
-            return pa.RecordBatch.from_arrays([pa.array(k[ok]), pa.array(h[ok])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array((k & ~1) | p), pa.array(h)], ["key", "line"])
 
-        for batch in batches:
-            k, h = (batch.column(i).to_numpy() for i in (0, 1))
-            p = batch.column(2).to_numpy(zero_copy_only=False)
-            k, h, p = (np.concatenate(x) for x in zip(kept, (k, h, p), strict=True))
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1]))
-            if last:
-                yield close(k[:last], h[:last], p[:last])
-            k, h, p = k[last:], h[last:], p[last:]
-            # of one line's rows under one key, one index and one probe say all
-            again = np.concatenate([[False], (h[1:] == h[:-1]) & (p[1:] == p[:-1])])
-            kept = (k[~again], h[~again], p[~again])
-        if len(kept[0]):
-            yield close(*kept)
-
-    keyed = docs.select(F.col(text)).mapInArrow(emit, "key long, line long, probe boolean")
-    return keyed.repartition("key").sortWithinPartitions("key", "line", "probe").mapInArrow(meet, "key long, line long")
+    keyed = docs.select(F.col(text)).mapInArrow(emit, "key long, line long")
+    # one number to sort by, which Spark sorts by its digits
+    return keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_meet, "key long, line long")
 
 
 def _near_lines(members: DataFrame, lines: DataFrame) -> DataFrame:
@@ -296,7 +309,7 @@ def dedupe_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", br
     order = F.struct("_null", "_id", "_th", "pos")
     occurrences, _ = stored(split.select("_id", "_null", "_th", "pos", h1.alias("h1"), h2.alias("h2")), "line-places")
     firsts, _ = stored(occurrences.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")), "line-firsts")
-    members, _ = stored(_meeting(docs, text), "line-members")
+    members, _ = stored(_meeting(docs, text), "line-members", NUMBER_ROWS)
     wanted = _small(members.select(F.col("line").alias("h1")).distinct(), broadcast_rows)  # 8 bytes a row
     bodies = split.select(h1.alias("h1"), h2.alias("h2"), "body").join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("body").alias("body"))
     lines = bodies.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])

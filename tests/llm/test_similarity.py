@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from lectern.llm import passages
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
-from lectern.llm.lines import allowed, dedupe_lines, segment_keys, within
+from lectern.llm.lines import _meet, _meeting, allowed, dedupe_lines, segment_keys, within
 from lectern.llm.passages import Sequence, _highest, _in_order, _sequence, _sequences, _several, common_stretches, compact_windows, near_stretches, rare_shingles, repeated_passages
 from lectern.llm.shingles import MinHasher, mix, set_overlaps, shingle_set, word_hashes
 
@@ -276,6 +277,34 @@ def test_line_dedup_keeps_other_columns_and_nulls(spark):
     assert dedupe_lines(frame(spark, [])).count() == 0
 
 
+def test_line_keys_are_sorted_by_one_number_and_sent_once(spark):
+    texts = ["a line of some words that is looked for", "another one", "x" * 300]
+    rows = list(enumerate(texts))
+    met = _meeting(frame(spark, rows), "text")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[key#\d+L ASC NULLS FIRST\]", plan), plan
+    all_keys, fewer = (segment_keys(texts, set(), again=again) for again in (True, False))
+    own = ~all_keys[2]
+    assert set(fewer[0]) == set(all_keys[0]) and len(fewer[0]) == len(all_keys[0]) - own.sum()
+
+
+def test_lines_meet_whatever_their_order_and_batches():
+    rng = random.Random(15)
+    for size in (1, 3, 7, 1000):
+        rows = [(rng.randrange(40) << 1 | (rng.random() < 0.8), rng.randrange(6)) for _ in range(300)]
+        rows += [(99 << 1, 3)] * 5 + [(98 << 1 | 1, x) for x in range(4)]
+        rows.sort(key=lambda r: r[0])
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b)], ["key", "line"]) for b in cut]
+        got = [r for b in _meet(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        groups = {}
+        for k, h in rows:
+            groups.setdefault(k >> 1, []).append((k & 1, h))
+        wanted = {(k, h) for k, g in groups.items() if len({x for _, x in g}) > 1 and min(g)[0] == 0 for _, h in g}
+        assert len(got) == len(set(got)) and set(got) == wanted
+    assert list(_meet(iter([]))) == []
+
+
 # --- passages ---------------------------------------------------------------------------------
 
 
