@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lectern.llm import tokens
 from lectern.llm.mix import fit_budget, mix_sources, mix_targets
 from lectern.llm.pack import forget_words, pack_documents, pack_shard, token_weights
 from lectern.llm.queries import vocabulary
@@ -228,6 +229,30 @@ def test_new_words_reach_the_tokenizer_in_bounded_parts():
     assert max(asked) <= 2 * 2048
 
 
+def test_new_words_of_letters_go_to_the_model_alone(monkeypatch):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzßàéñöøÿāŉſžł"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 30]) for i in range(0, 3000, 30)] + ["x" * 64, "é" * 32 + "b", "x" * 65 + " y", "y\n" + "z" * 65, "ª µ º don't Ünd w1x", ""]
+    untouched = Tokenizer.from_file(vocabulary())
+    for slots in (19, 4):  # many words of a slot, too
+        monkeypatch.setattr(tokens, "_SLOTS", slots)
+        encoder = WordEncoder(vocabulary())
+        for _ in range(2):
+            for got, text in zip(encoder.encode(texts), texts, strict=True):
+                assert got.tolist() == untouched.encode(text, add_special_tokens=False).ids
+    plain, asked = encoder.tokenizer, []
+
+    class Told:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Told()
+    encoder.encode(["some unheardofthing " + "".join(reversed(words[0]))])
+    assert not asked
+
+
 def test_words_are_forgotten_once_texts_are_encoded():
     first = word_encoder(vocabulary())
     forget_words()
