@@ -12,6 +12,7 @@ stay short: it is split into sequences whose lengths are powers of two, so nothi
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,29 +100,61 @@ def forget_words() -> None:
     give_back()
 
 
+class TokenCounts:
+    """In how many of the documents added each token id is."""
+
+    def __init__(self) -> None:
+        self.n, self.last = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.rows = self.bytes = 0
+
+    def add(self, ids: np.ndarray) -> None:
+        if len(ids) and (most := int(ids.max())) >= len(self.n):
+            self.n, self.last = (np.concatenate([v, np.zeros(most + 1, dtype=np.int64)]) for v in (self.n, self.last))
+        at = np.arange(len(ids))
+        self.last[ids] = at  # of equal ids, one place stays
+        self.n[ids[self.last[ids] == at]] += 1
+        self.rows += 1
+        self.bytes += 4 * len(ids) + 8
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts), with the number of documents under id -1 and the bytes of their rows under -2."""
+        used = np.flatnonzero(self.n)
+        return np.concatenate([[-1, -2], used]), np.concatenate([[self.rows, self.bytes], self.n[used]])
+
+
+def _weights(told: DataFrame) -> tuple[np.ndarray, int]:
+    """(``token_weights``, bytes of all rows) from tables of ``TokenCounts`` (id, n). What reaches the driver is
+    one count for each id of the vocabulary."""
+    found = told.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    ids, n = found["id"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    rows, size = (int(n[ids == k].sum()) for k in (-1, -2))
+    ids, n = ids[ids >= 0], n[ids >= 0]
+    weight = np.zeros(int(ids.max()) + 1 if len(ids) else 1)
+    weight[ids] = np.where(n > 1, np.log(np.maximum(rows / n, 1.0)) ** 2, 0.0)
+    return weight, size
+
+
 def token_weights(encoded: DataFrame) -> np.ndarray:
     """The squared inverse document frequency of every token id, from all documents; none for ids of a
-    single document. What reaches the driver is one count for each id of the vocabulary."""
+    single document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_words()
-        n, last = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        counts = TokenCounts()
         for batch in batches:
             for e in batch.column(0):
-                ids = np.frombuffer(e.as_buffer(), dtype="<u4")
-                if len(ids) and (most := int(ids.max())) >= len(n):
-                    n, last = (np.concatenate([v, np.zeros(most + 1, dtype=np.int64)]) for v in (n, last))
-                at = np.arange(len(ids))
-                last[ids] = at  # of equal ids, one place stays
-                n[ids[last[ids] == at]] += 1
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
-
-    rows = encoded.count()
-    found = encoded.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    weight = np.zeros(int(found["id"].max()) + 1 if len(found) else 1)
-    weight[found["id"].to_numpy(np.int64)] = np.where(found["n"] > 1, np.log(np.maximum(rows / found["n"], 1.0)) ** 2, 0.0)
-    return weight
+                counts.add(np.frombuffer(e.as_buffer(), dtype="<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in counts.table()], ["id", "n"])
+
+    return _weights(encoded.select("ids").mapInArrow(lean(count), "id long, n long"))[0]
+
+
+def split_points(keys: list[tuple], share: list[float], parts: int) -> list[tuple]:
+    """The least keys of all but the first of ``parts`` ranges of about equal weight; ``share``: what each of
+    ``keys`` stands for."""
+    by = sorted(range(len(keys)), key=keys.__getitem__)
+    total = np.cumsum([share[i] for i in by])
+    at = np.searchsorted(total, np.arange(1, parts) * (total[-1] / parts)) if len(by) else []
+    return sorted({keys[by[i]] for i in at})
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> list[Piece]:
@@ -187,8 +220,11 @@ def _tail(placed: list[tuple[int, int, int]], total: int, sequence: int, pieces:
 
 
 _OUT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_IDS = "doc_id long, ids binary"
-_KEYED = "doc_id long, ids binary, k1 long, k2 long, k3 long"
+#: Of a task, beside its documents (kind 0): one row of its counts (1: ids in ``told``, counts in ``counts``), and
+#: some of its documents (2: ids in ``told``, for how many bytes of rows each stands in ``share``).
+_IDS = "doc_id long, ids binary, kind int, told binary, counts binary, share double"
+_KEYED = "doc_id long, ids binary, h long, k1 long, k2 long, k3 long, part int"
+_DRAWN = "k1 long, k2 long, k3 long, h long, share double"
 
 
 def pack_documents(
@@ -201,6 +237,7 @@ def pack_documents(
     shard_docs: int = 1024,
     shard_tokens: int = 1 << 20,
     task_bytes: int = 64 << 20,
+    drawn_docs: int = 100,
 ) -> DataFrame:
     """Pieces of documents laid out in sequences of at most ``window`` tokens.
 
@@ -209,7 +246,8 @@ def pack_documents(
     sequence_id, offset (gapless from 0 in each sequence) and ids (little-endian unsigned 32-bit).
     Sequences hold ``window`` tokens, but for a shard's last ones, whose lengths are powers of
     two; no token is padding. A shard holds up to ``shard_docs`` documents or ``shard_tokens``
-    tokens, neighbours in the order of ``lexical_keys``; tasks take about ``task_bytes`` of ids.
+    tokens, neighbours in the order of ``lexical_keys``; tasks take about ``task_bytes`` of ids
+    (ranges of the order, told from ``drawn_docs`` documents of each encoding task; all documents are packed).
 
     An empty text is the single token ``end_id``. Repeated rows are packed once each; rows of null
     id keep a null id. Equal matches are taken in the shard's order, which ends with the row's id
@@ -218,20 +256,55 @@ def pack_documents(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(vocabulary)
+        encoder, counts = word_encoder(vocabulary), TokenCounts()
+        draw, drawn = np.random.default_rng(7), []
+
+        def rows(doc_id: pa.Array, ids: list[bytes | None], kind: int, told: list[bytes | None], n: bytes | None = None, share: float | None = None) -> pa.RecordBatch:
+            cols = [doc_id, pa.array(ids, pa.binary()), pa.array([kind] * len(ids), pa.int32()), pa.array(told, pa.binary())]
+            cols += [pa.array([n] * len(ids), pa.binary()), pa.array([share] * len(ids), pa.float64())]
+            return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _IDS.split(", ")])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                encoded = encoder.encode([t or "" for t in some.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([e.astype("<u4").tobytes() for e in encoded], pa.binary())], ["doc_id", "ids"])
+                encoded = [e.astype("<u4") for e in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
+                ids = [e.tobytes() for e in encoded]
+                for i, e in enumerate(encoded):
+                    counts.add(e)
+                    # each of a task's documents is among those drawn with the same chance
+                    to = len(drawn) if len(drawn) < drawn_docs else int(draw.integers(counts.rows))
+                    if to < drawn_docs:
+                        drawn[to : to + 1] = [(some.column(0)[i].as_py(), ids[i])]
+                yield rows(some.column(0), ids, 0, [None] * len(ids))
             give_back()  # a task has many batches, and what one leaves behind would add up
+        if drawn:
+            used, n = (c.astype("<i8").tobytes() for c in counts.table())
+            yield rows(pa.array([None], pa.int64()), [None], 1, [used], n)
+            names, told = zip(*drawn, strict=True)
+            yield rows(pa.array(names, pa.int64()), [None] * len(drawn), 2, list(told), None, counts.bytes / len(drawn))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), dtype="<i8")) for c in row], ["id", "n"])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Three keys of each document, and the range of all that it lies in."""
+        forget_words()
+        tables = key_tables(weight)
+        for batch in batches:
+            keys = lexical_keys([np.frombuffer(e.as_buffer(), dtype="<u4") for e in batch.column(1)], tables)
+            part = [bisect_right(points, tuple(k)) for k in np.column_stack([keys, batch.column(2).to_numpy()]).tolist()]
+            cols = [*batch.columns, *(pa.array(keys[:, i]) for i in range(3)), pa.array(part, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _KEYED.split(", ")])
+
+    def drawn_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_words()
         tables = key_tables(weight)
         for batch in batches:
             keys = lexical_keys([np.frombuffer(e.as_buffer(), dtype="<u4") for e in batch.column(1)], tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(keys[:, i]) for i in range(3))], ["doc_id", "ids", "k1", "k2", "k3"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), *batch.columns[2:]], [f.split()[0] for f in _DRAWN.split(", ")])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -266,8 +339,13 @@ def pack_documents(
             yield flush()
 
     encoded, _ = stored(docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(lean(encode), _IDS), "pack-ids")
-    total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids") + 8), F.lit(0))).first()[0]
-    order = ["k1", "k2", "k3", F.xxhash64("doc_id", "ids"), "doc_id"]
-    weight = token_weights(encoded)
-    dealt = encoded.mapInArrow(lean(key), _KEYED).repartitionByRange(int(total // task_bytes) + 1, *order).sortWithinPartitions(*order, "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(lean(pack), _OUT)
+    weight, total = _weights(encoded.where("kind = 1").select("told", "counts").mapInArrow(lean(counted), "id long, n long"))
+    h = F.xxhash64("doc_id", "ids").alias("h")
+    # the ranges are told from documents that the tasks have drawn, so that no document has its keys made twice
+    parts, points = int(total // task_bytes) + 1, []
+    if parts > 1:
+        some = encoded.where("kind = 2").select("doc_id", F.col("told").alias("ids"), "share").select("doc_id", "ids", h, "share")
+        told = some.mapInArrow(lean(drawn_keys), _DRAWN).toPandas()
+        points = split_points(list(zip(*(told[c].tolist() for c in ("k1", "k2", "k3", "h")), strict=True)), told["share"].tolist(), parts)
+    dealt = encoded.where("kind = 0").select("doc_id", "ids", h).mapInArrow(lean(key), _KEYED).repartitionById(parts, F.col("part"))
+    return dealt.sortWithinPartitions("k1", "k2", "k3", "h", "doc_id", "ids").select("doc_id", "ids").mapInArrow(lean(pack), _OUT)

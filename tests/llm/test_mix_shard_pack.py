@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lectern.llm import tokens
 from lectern.llm.mix import fit_budget, mix_sources, mix_targets
-from lectern.llm.pack import forget_words, pack_documents, pack_shard, token_weights
+from lectern.llm.pack import forget_words, pack_documents, pack_shard, split_points, token_weights
 from lectern.llm.queries import vocabulary
 from lectern.llm.shard import shard_documents
 from lectern.llm.tokens import WordEncoder, word_encoder
@@ -267,3 +267,26 @@ def test_token_weights_count_each_document_once(spark):
     assert len(weight) == 70_001 and weight[1] == 0
     for i in (5, 9, 70_000):
         assert abs(weight[i] - np.log(4 / 2) ** 2) < 1e-12
+
+
+def test_split_points_cut_by_weight():
+    keys = [(k, 0) for k in (5, 1, 3, 2, 4, 0)]
+    assert split_points(keys, [1.0] * 6, 3) == [(1, 0), (3, 0)]
+    assert split_points(keys, [10.0, 1, 1, 1, 1, 1], 2) == [(5, 0)]
+    assert split_points([(7, 7)] * 4, [1.0] * 4, 3) == [(7, 7)]
+    assert split_points([], [], 4) == []
+
+
+def test_packing_makes_each_documents_keys_once(spark):
+    """A range exchange would sample its rows, and so make all keys twice."""
+    texts = [f"word{i % 9} text{i} and{i % 40} so on" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pack_documents(docs, vocabulary(), window=64, task_bytes=4000, drawn_docs=20)
+    assert "rangepartitioning" not in found._jdf.queryExecution().toString().lower()
+    pieces = found.collect()
+    assert len({p.sequence_id >> 32 for p in pieces}) > 2
+    whole = Tokenizer.from_file(vocabulary())
+    for i, text in enumerate(texts):
+        mine = sorted((p.start, bytes(p.ids)) for p in pieces if p.doc_id == i)
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert b"".join(b for _, b in mine) == ids.tobytes()
