@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import passages
+from lectern.llm import blocks, passages
 from lectern.llm.components import components
 from lectern.llm.jaccard import jaccard_join, runs_for
 from lectern.llm.lines import _meet, _meeting, allowed, dedupe_lines, segment_keys, within
@@ -570,3 +570,59 @@ def test_keys_of_several_texts_are_kept_whatever_their_order():
         parts = [pa.RecordBatch.from_pydict({"k": [r[0] for r in p], "t": [r[1] for r in p]}) for p in (rows[:cut], rows[cut:])]
         got = [tuple(r.values()) for b in _several(2)(iter(parts)) for r in b.to_pylist()]
         assert got == [r for r in rows if r[0] in (2, 4)]
+
+
+def test_blocks_bring_the_same_rows_to_the_same_part():
+    rng = np.random.default_rng(3)
+    rows = [[rng.integers(-(1 << 63), 1 << 63, n), np.arange(n), np.full(n, 7)] for n in (5, 0, 300, 41)]
+    dealt = [*blocks.deal(iter(rows), 0, 6, rows=100)]
+    assert sum(b.num_rows for b in dealt) <= 2 * 6
+    of = {}
+    for b in dealt:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for key in np.frombuffer(data.as_py(), dtype=np.int64).reshape(3, -1)[0].tolist():
+                assert of.setdefault(key, part) == part
+    assert set(of.values()) == set(range(6))
+    got = np.concatenate([*blocks.opened(iter(dealt), 3, rows=50)], axis=1)
+    assert sorted(map(tuple, got.T.tolist())) == sorted(map(tuple, np.concatenate([np.stack(r) for r in rows], axis=1).T.tolist()))
+    assert [*blocks.opened(iter([]), 3)] == [*blocks.deal(iter([]), 0, 6)] == []
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_shared_keys_are_those_of_two_texts_however_rows_come(size):
+    rng = np.random.default_rng(size)
+    rows = np.stack([rng.integers(-40, 40, 400), rng.integers(-6, 2, 400), rng.integers(0, 3, 400), rng.integers(0, 2, 400)])
+    rows[1, rows[0] % 3 == 0] = 5  # these keys have one text
+    got = [r for cols in blocks.shared_keys(iter([rows[:, i : i + size] for i in range(0, 400, size)])) for r in zip(*(c.tolist() for c in cols), strict=True)]
+    texts = {}
+    for k, t, *_ in rows.T.tolist():
+        texts.setdefault(k, set()).add(t)
+    assert set(got) == {tuple(r) for r in rows.T.tolist() if len(texts[r[0]]) > 1}
+    one = np.array([[9], [1], [0], [0]])
+    assert [*blocks.shared_keys(iter([one] * 5))] == []
+
+
+def test_leaders_and_members_of_large_groups_wait_in_files():
+    rng = np.random.default_rng(5)
+    rows = np.stack([rng.integers(0, 20, 900), rng.integers(-50, 50, 900), rng.integers(3, 6, 900)])
+    kept = blocks.Kept(iter(np.split(rows, 30, axis=1)), rows=100)
+    assert len(kept.held) == 3 and kept.filed == 27
+    assert (np.concatenate([*kept], axis=1) == rows).all() and (np.concatenate([*kept], axis=1) == rows).all()
+    wanted = {}
+    for k, t, s in rows.T.tolist():
+        wanted.setdefault(k, []).append((s, t))
+    for k, t, s, low, high, n in blocks.leaders(kept).T.tolist():
+        assert (s, t) == min(wanted[k]) and n == len(wanted.pop(k))
+        assert low <= t <= high
+    assert not wanted
+    assert blocks.leaders(iter([])).shape == (6, 0)
+
+
+def test_passages_send_windows_in_blocks(spark, monkeypatch):
+    """Each of some hundred windows a text was a row of exchanges, sorts and tables."""
+    rows = passage_rows()
+    sent = []
+    monkeypatch.setattr(blocks, "exchanged", lambda df, parts, f=blocks.exchanged: sent.append(df) or f(df, parts))
+    assert repeated_passages(frame(spark, rows)).count() > 0
+    assert len(sent) == 3 and all(d.columns == ["part", "data"] for d in sent)
+    assert sent[0].count() <= 3 * blocks.parts_of(sent[0]) * sent[0].rdd.getNumPartitions()
